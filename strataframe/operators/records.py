@@ -27,7 +27,8 @@ def latest_value(df: DataFrame, keys: Sequence[str], value: str, stamp: str, clu
 
     ``cluster`` (default: the keys) is a subset of the keys to shuffle by, so that a following aggregate by it needs no
     further shuffle. Among rows of one key and stamp the greatest value counts (NaN above all, null below all).
+    ``stamp`` comes back as microseconds since 1970 in ``_at``.
     """
     stamped = df.dropna(subset=list(keys)).select(*keys, F.col(value).cast("double").alias(value), F.coalesce(F.unix_micros(stamp), F.lit(-(2**63))).alias("_at"))
     spread = stamped.repartition(*(cluster or keys))
-    return spread.groupBy(*keys, "_at").agg(F.max(value).alias(value)).groupBy(*keys).agg(F.max_by(value, "_at").alias(value))
+    return spread.groupBy(*keys, "_at").agg(F.max(value).alias(value)).groupBy(*keys).agg(F.max_by(value, "_at").alias(value), F.max("_at").alias("_at"))
