@@ -46,23 +46,22 @@ def hierarchy(links: DataFrame, node: str = "id", parent: str = "parent", paths:
 
     reach, waiting = 1, active.count()
     bound = waiting + 1
+    seen, few = done[:], False
     while waiting and reach <= bound:
-        a = active.alias("a")
-        far = active.select(*keep, F.lit(False).alias("met"))
-        for d in done:
-            far = far.unionAll(d.select(*keep, F.lit(True).alias("met")))
+        far = reduce(DataFrame.unionAll, [d.select(*keep, F.lit(True).alias("met")) for d in seen], active.select(*keep, F.lit(False).alias("met")))
+        if waiting <= BROADCAST_ROWS and not few:
+            # from now on pointers only lead to what is pointed to now
+            goals = F.broadcast(active.select(F.col("up").alias("id")).distinct())
+            seen, few = [store(far.where("met").join(goals, "id", "left_semi").drop("met"), "goals")], True
+            continue
         far = far.select(F.col("id").alias("at"), F.col("up").alias("far_up"), F.col("jump").alias("far_jump"), "met", *([F.col("seg").alias("far_seg")] if paths else []))
-        probe = F.broadcast(a) if waiting <= BROADCAST_ROWS and not paths else a
-        joined = far.join(probe, F.col("at") == F.col("a.up"))
+        a = active.alias("a")
+        joined = far.join(F.broadcast(a) if few and not paths else a, F.col("at") == F.col("a.up"))
         stepped = joined.select("a.id", F.col("far_up").alias("up"), (F.col("jump") + F.col("far_jump")).alias("jump"), *([F.concat("seg", "far_seg").alias("seg")] if paths else []), "met")
-        stepped = store(stepped, "step")
+        stepped = store(stepped.coalesce(1) if few and not paths else stepped, "step")
         done.append(stepped.where("met").drop("met"))
-        done[-1].stored_at = stepped.stored_at
-        nxt = stepped.where("NOT met").drop("met")
-        nxt.stored_at = None
-        if active.stored_at:
-            discard(active)
-        active, reach = nxt, reach * 2
+        seen.append(done[-1])
+        active, reach = stepped.where("NOT met").drop("met"), reach * 2
         waiting = active.count()
         bound = min(bound, waiting + reach)
 

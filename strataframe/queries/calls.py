@@ -12,8 +12,9 @@ from strataframe.sources.tables import table
 
 def uuid_bytes(text: str) -> Column:
     """The 16 bytes of a UUID in any spelling (case, braces, hyphens or none, ``urn:uuid:``), else null."""
-    bare = F.regexp_replace(F.lower(F.trim(text)), "^urn:uuid:|^\\{|\\}$|-", "")
-    return F.when(bare.rlike("^[0-9a-f]{32}$"), F.unhex(bare))
+    low = F.lower(F.trim(text))
+    bare = F.translate(F.when(low.startswith("urn:uuid:"), F.substring(low, 10, 1000)).otherwise(low), "{}-", "")
+    return F.when(F.length(bare) == 32, F.unhex(bare))
 
 
 def uuid_text(data: str | Column) -> Column:
