@@ -38,17 +38,36 @@ class Pivots:
 
     def place(self, x: np.ndarray, y: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, cell, is home) of every cell that each row must be sent to."""
+        far = METRICS[self.metric]
         rows, cells, home = [], [], []
-        step = max(1, (1 << 21) // len(self.x))
-        for k in range(0, len(x), step):
-            s = slice(k, k + step)
-            d = METRICS[self.metric](x[s, None], y[s, None], self.x[None, :], self.y[None, :])
-            near = d.min(axis=1)
-            slack = 1e-6 + 1e-9 * near
-            r, c = np.nonzero(d <= (near + 2 * reach[s] + slack)[:, None])
-            rows.append(r + k)
-            cells.append(c)
-            home.append(c == d.argmin(axis=1)[r])
+        todo = [(np.arange(len(x)), np.arange(len(self.x)))]
+        while todo:
+            q, near = todo.pop()
+            if not len(q):
+                continue
+            if len(q) > 32 and len(near) > 8:  # part the rows, and keep the pivots that the triangle inequality allows
+                ref = q[len(q) // 2]
+                a = q[int(np.argmax(far(x[q], y[q], x[ref], y[ref])))]
+                to_a = far(x[q], y[q], x[a], y[a])
+                b = q[int(np.argmax(to_a))]
+                left = to_a <= far(x[q], y[q], x[b], y[b])
+                if not left.all():
+                    for half in (q[left], q[~left]):
+                        mid = half[len(half) // 2]
+                        width = far(x[half], y[half], x[mid], y[mid]).max()
+                        to = far(self.x[near], self.y[near], x[mid], y[mid])
+                        reached = to <= (to.min() + 2 * (width + max(0.0, reach[half].max()))) * (1 + 1e-9) + 1e-6
+                        todo.append((half, near[reached]))
+                    continue
+            step = max(1, (1 << 21) // len(near))
+            for k in range(0, len(q), step):
+                s = q[k : k + step]
+                d = far(x[s, None], y[s, None], self.x[None, near], self.y[None, near])
+                least = d.min(axis=1)
+                r, c = np.nonzero(d <= (least + 2 * reach[s] + 1e-6 + 1e-9 * least)[:, None])
+                rows.append(s[r])
+                cells.append(near[c])
+                home.append(c == d.argmin(axis=1)[r])
         return tuple(np.concatenate(v) if v else np.empty(0, "int64") for v in (rows, cells, home))
 
 
@@ -60,7 +79,7 @@ def choose_pivots(x: np.ndarray, y: np.ndarray, total: int, per_cell: int, most:
     chosen = spots[rng.permutation(len(spots))[:want]]
     share = np.ones(1)
     for _ in range(4):
-        cells = Pivots(chosen[:, 0], chosen[:, 1], np.ones(len(chosen), "int64"), metric).place(x, y, np.full(len(x), -1.0))
+        cells = Pivots(chosen[:, 0], chosen[:, 1], np.ones(len(chosen), "int64"), metric).place(x, y, np.zeros(len(x)))
         home = np.zeros(len(x), "int64")
         home[cells[0][cells[2]]] = cells[1][cells[2]]
         share = np.bincount(home, minlength=len(chosen)) / max(1, len(x))
@@ -74,7 +93,7 @@ def choose_pivots(x: np.ndarray, y: np.ndarray, total: int, per_cell: int, most:
             break
         chosen = np.unique(np.concatenate([chosen, *more]), axis=0)[: max(most, len(chosen))]
     if len(share) != len(chosen):
-        cells = Pivots(chosen[:, 0], chosen[:, 1], np.ones(len(chosen), "int64"), metric).place(x, y, np.full(len(x), -1.0))
+        cells = Pivots(chosen[:, 0], chosen[:, 1], np.ones(len(chosen), "int64"), metric).place(x, y, np.zeros(len(x)))
         share = np.bincount(cells[1][cells[2]], minlength=len(chosen)) / max(1, len(x))
     blocks = np.maximum(1, np.ceil(share * total / (4 * per_cell))).astype("int64")
     return Pivots(chosen[:, 0], chosen[:, 1], blocks, metric)
