@@ -2,19 +2,24 @@
 
 The state of a group is its table of values and counts, values rounded to a step of twice the allowed error. States of
 pieces or days combine by adding counts, and give the same percentiles as all their numbers at once.
+
+To rank, the values of each group are cut into ranges. The counts of whole ranges, one number per group and range, give
+the offset at which each begins and tell which ranges hold a wanted rank. Only the rows of those are sorted and summed,
+each range by itself, so a group may hold any part of all rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.plans.running import running_sum
 
-#: Default error: the half of a step of 1/8.
-ERROR = 0.0625
+#: Default error: the half of a step of 1/8. Steps in a range: the more ranges, the fewer rows are sorted, the more totals are kept.
+ERROR, RANGE = 0.0625, 1 << 7
 
 
 def rounded(value: Column, error: float = ERROR) -> Column:
@@ -40,14 +45,42 @@ def combined(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counts.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
 
 
-def percentiles(counts: DataFrame, keys: Sequence[str], permille: Sequence[int] = (50, 250, 500, 750, 950)) -> DataFrame:
+def _plain(df: DataFrame, keys: Sequence[str]) -> tuple[list[Column], list[str], list[Column]]:
+    """Keys without nulls for joins: their columns, the columns' names, and the expressions that bring the keys back."""
+    columns, names, back = [], [], []
+    for k, key in enumerate(keys):
+        kind = df.schema[key].dataType.simpleString()
+        empty = F.lit("").cast(kind) if kind in ("string", "binary") else F.lit(0).cast("timestamp").cast(kind) if kind.startswith(("date", "timestamp")) else F.lit(False) if kind == "boolean" else F.lit(0).cast(kind)
+        columns += [F.coalesce(F.col(key), empty).alias(f"_k{k}"), F.col(key).isNull().alias(f"_n{k}")]
+        names += [f"_k{k}", f"_n{k}"]
+        back.append(F.when(~F.col(f"_n{k}"), F.col(f"_k{k}")).alias(key))
+    return columns, names, back
+
+
+def percentiles(counts: DataFrame, keys: Sequence[str], permille: Sequence[int] = (50, 250, 500, 750, 950), error: float = ERROR) -> DataFrame:
     """``keys, n, p<permille>...``: the first value whose cumulative count reaches ``n * permille / 1000`` (0: the least).
 
-    Each is within the error of the state of the exact one. Groups without counted values do not appear.
+    ``counts`` are states (:func:`value_counts`, any number of them in one table: what repeats is added up) made with
+    ``error``; each result is within it of the exact percentile. With ``error`` 0 there are no fixed ranges, and the
+    running sums go over sampled ones. Keys are of simple types; groups without counted values do not appear.
     """
-    sums = running_sum(counts, keys, ["value"], "n", "upto")
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total")).select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], "total")
-    both = sums.join(totals, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)])
-    rank = [F.greatest(F.lit(1).cast("bigint"), F.floor((F.col("total") * p + 999) / 1000).cast("bigint")) for p in permille]
-    hit = [F.when((F.col("upto") >= r) & (F.col("upto") - F.col("n") < r), F.col("value")) for r in rank]
-    return both.groupBy(*keys).agg(F.max("total").alias("n"), *[F.max(h).alias(f"p{p:03d}") for h, p in zip(hit, permille, strict=True)])
+    columns, group, back = _plain(counts, keys)
+    plain = counts.select(*columns, "value", "n")
+    names = [f"p{p:03d}" for p in permille]
+    ranks = [F.greatest(F.lit(1).cast("bigint"), F.floor((F.col("_total") * p + 999) / 1000).cast("bigint")) for p in permille]
+    if error:
+        place = F.greatest(F.lit(-(2.0**62)), F.least(F.lit(2.0**62), F.col("value") / (2 * error * RANGE)))
+        plain = plain.withColumn("_range", F.floor(place))
+        part = [*group, "_range"]
+        each = plain.groupBy(*part).agg(F.sum("n").alias("_own"))
+        before = Window.partitionBy(*group).orderBy("_range")
+        starts = each.select(*part, "_own", (F.sum("_own").over(before) - F.col("_own")).alias("_start"), F.sum("_own").over(Window.partitionBy(*group)).alias("_total"))
+        holds = reduce(Column.__or__, [(F.col("_start") < r) & (F.col("_start") + F.col("_own") >= r) for r in ranks])
+        rows = plain.join(starts.where(holds).drop("_own").hint("shuffle_hash"), part)
+        upto = F.sum("n").over(Window.partitionBy(*part).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_start")
+        summed = rows.select(*group, "value", "_total", upto.alias("_upto"))
+    else:
+        unique = plain.groupBy(*group, "value").agg(F.sum("n").alias("n"))
+        summed = running_sum(unique, group, ["value"], "n", "_upto").join(plain.groupBy(*group).agg(F.sum("n").alias("_total")), group)
+    least = [F.min(F.when(F.col("_upto") >= r, F.col("value"))).alias(c) for r, c in zip(ranks, names, strict=True)]
+    return summed.groupBy(*group).agg(F.max("_total").alias("n"), *least).select(*back, "n", *names)

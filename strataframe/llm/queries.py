@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.llm.cells import current_cells, current_grids
+from strataframe.llm.cells import current_cells, current_grids, named, with_grid
 from strataframe.llm.leak import leaks, removal_spans
 from strataframe.llm.mix import mix, source_name, token_counts
 from strataframe.llm.percentiles import combined, percentiles, value_counts
@@ -21,41 +23,50 @@ NO_Z = -9999.0
 
 
 def _day(micros: Column) -> Column:
-    return F.date_from_unix_date(F.floor(micros / 86_400_000_000).cast("int"))
+    day = F.lit(86_400_000_000)
+    return F.date_from_unix_date(((micros - F.pmod(micros, day)) / day).cast("int"))
 
 
-def raster_states(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts of rounded values per site, raster and day: the state from which all scopes of problem 1 are made."""
-    grids = current_grids(table(spark, folder, "raster_grids"))
-    cells = current_cells(table(spark, folder, "raster_pixels"), grids).where("valid")
-    return value_counts(cells.select("site_id", "raster_id", _day(F.col("_at")).alias("day"), "value"), ["site_id", "raster_id", "day"], "value")
+def raster_states(pixels: DataFrame, grids: DataFrame) -> DataFrame:
+    """Counts of rounded values per raster and day: the state from which all scopes of problem 1 are made."""
+    cells = current_cells(pixels, grids).where("valid")
+    return value_counts(cells.select("grid", "stray", _day(F.col("_at")).alias("day"), "value"), ["grid", "stray", "day"], "value")
+
 
+def point_states(points: DataFrame) -> DataFrame:
+    """Counts of rounded z per site, cloud and day."""
+    now = latest(points.select("point_id", "site_id", "cloud_id", "z", "loaded_at"), ["point_id"], "loaded_at").where(F.col("z") != NO_Z)
+    return value_counts(now.select("site_id", "cloud_id", _day(F.unix_micros("loaded_at")).alias("day"), "z"), ["site_id", "cloud_id", "day"], "z")
 
-def point_states(spark: SparkSession, folder: str) -> DataFrame:
-    points = table(spark, folder, "pointcloud_points").select("point_id", "site_id", "cloud_id", "z", "loaded_at")
-    now = latest(points, ["point_id"], "loaded_at").where(F.col("z") != NO_Z)
-    day = _day(F.unix_micros("loaded_at"))
-    return value_counts(now.select("site_id", F.col("cloud_id").alias("raster_id"), day.alias("day"), "z"), ["site_id", "raster_id", "day"], "z")
 
+def _wide(states: DataFrame) -> DataFrame:
+    """States of sites, of days and of all, from those of pieces; ``scope`` is the grouping set's number (2, 4 and 6)."""
+    sets = [[F.col("site_id"), F.col("value")], [F.col("day"), F.col("value")], [F.col("value")]]
+    return store(states.groupingSets(sets, "site_id", "day", "value").agg(F.sum("n").alias("n"), F.grouping_id().cast("int").alias("scope")), "wide")
 
-def _scopes(states: DataFrame, measure: str, piece: str) -> DataFrame:
-    named = [("site", F.col("site_id")), (piece, F.col("raster_id")), ("day", F.col("day").cast("string")), ("all", F.lit(None).cast("string"))]
-    scopes = F.explode(F.array(*[F.struct(F.lit(n).alias("scope"), k.alias("key")) for n, k in named])).alias("s")
-    return combined(states.select(F.lit(measure).alias("measure"), scopes, "value", "n").select("measure", "s.scope", "s.key", "value", "n"), ["measure", "scope", "key"])
+
+def _wide_percentiles(states: DataFrame) -> DataFrame:
+    found = percentiles(_wide(states), ["scope", "site_id", "day"])
+    names = F.when(F.col("scope") == 2, "site").when(F.col("scope") == 4, "day").otherwise("all")
+    return found.withColumn("key", F.coalesce("site_id", F.col("day").cast("string"))).withColumn("scope", names)
 
 
 def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of cell values by site, raster, day of loading and over all; of z by site, cloud, day and over all."""
-    cells = _scopes(store(raster_states(spark, folder), "states"), "value", "raster")
-    z = _scopes(store(point_states(spark, folder), "states"), "z", "cloud")
-    counts = store(cells.unionAll(z), "counts")
-    return percentiles(counts, ["measure", "scope", "key"])
+    grids = current_grids(table(spark, folder, "raster_grids"))
+    cells = store(raster_states(table(spark, folder, "raster_pixels"), grids), "states")
+    z = store(point_states(table(spark, folder, "pointcloud_points")), "states")
+    rasters = named(percentiles(cells, ["grid", "stray"]), grids).withColumnRenamed("raster_id", "key").withColumn("scope", F.lit("raster"))
+    clouds = percentiles(z, ["cloud_id"]).withColumnRenamed("cloud_id", "key").withColumn("scope", F.lit("cloud"))
+    parts = [("value", rasters), ("z", clouds), ("value", _wide_percentiles(with_grid(cells, grids, "grid", ("site_id",)))), ("z", _wide_percentiles(z))]
+    results = [p.select(F.lit(measure).alias("measure"), "scope", "key", "n", *[c for c in p.columns if c[0] == "p" and c[1:].isdigit()]) for measure, p in parts]
+    return reduce(DataFrame.unionAll, results)
 
 
 def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
     """1,000 valid cells of all and 100 of each site."""
     grids = current_grids(table(spark, folder, "raster_grids"))
-    cells = current_cells(table(spark, folder, "raster_pixels"), grids).where("valid")
+    cells = named(current_cells(table(spark, folder, "raster_pixels"), grids).where("valid"), grids, ("site_id",))
     rows = cells.select("site_id", "raster_id", "band", "row", "col", "value")
     return reservoir_sample(rows, {"all": (None, 1000), "site": ("site_id", 100)}, seed=4)
 
@@ -63,13 +74,14 @@ def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
 def _split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     grids = current_grids(table(spark, folder, "raster_grids"))
     sites = table(spark, folder, "survey_sites").select("site_id", "max_cells", "overlap_cells").dropna(subset=["site_id"]).groupBy("site_id").agg(F.max("max_cells").alias("max_cells"), F.max("overlap_cells").alias("overlap_cells"))
-    limits = grids.join(sites, "site_id").select("raster_id", "max_cells", "overlap_cells")
-    cells = current_cells(table(spark, folder, "raster_pixels"), grids, columns=("nodata",))
-    return split_bands(cells, limits), grids
+    limits = grids.join(sites, "site_id").select("grid", "max_cells", "overlap_cells")
+    cells = current_cells(table(spark, folder, "raster_pixels"), grids)
+    return split_bands(cells.where("stray IS NULL"), limits, raster=["grid"]), grids
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    bands, _ = _split(spark, folder)
+    bands, grids = _split(spark, folder)
+    bands = named(bands.withColumn("stray", F.lit(None).cast("string")), grids)
     none = F.array(F.struct(F.lit("none").alias("axis"), F.lit(-1).alias("seam_at")))
     return bands.select("raster_id", "band", F.explode(F.when(F.size("seams") > 0, F.col("seams")).otherwise(none)).alias("s")).select("raster_id", "band", "s.axis", "s.seam_at")
 
@@ -77,7 +89,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of each band that is too large, with their own transforms (a, b, d and e stay)."""
     bands, grids = _split(spark, folder)
-    each = bands.select("raster_id", "band", F.posexplode("pieces").alias("piece", "p")).select("raster_id", "band", "piece", "p.*")
+    each = named(bands.withColumn("stray", F.lit(None).cast("string")), grids).select("raster_id", "band", F.posexplode("pieces").alias("piece", "p")).select("raster_id", "band", "piece", "p.*")
     grid = grids.select("raster_id", "a", "b", "c", "d", "e", "f")
     moved = each.join(grid, "raster_id")
     c = F.col("c") + F.col("a") * F.col("col_from") + F.col("b") * F.col("row_from")

@@ -8,12 +8,13 @@ of the pieces, no piece holding more cells than allowed, consecutive pieces shar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Weight of a piece's squared relative deviation from the mean size against a cut through a line full of valid cells.
 BALANCE = 0.25
@@ -110,22 +111,24 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p, s = split_band(*per_axis, max(1, m), max(0, o or 0))
             pieces.append([dict(zip(("axis", "row_from", "row_to", "col_from", "col_to"), x, strict=True)) for x in p])
             found.append([{"axis": a, "seam_at": k} for a, k in s])
-        keep = [batch.column(batch.schema.get_field_index(c)) for c in ("raster_id", "band")]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(pieces, pa.list_(PIECE)), pa.array(found, pa.list_(SEAM))], names=["raster_id", "band", "pieces", "seams"])
+        keep = [k for k, name in enumerate(batch.schema.names) if name not in ("lines", "max_cells", "overlap_cells")]
+        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(pieces, pa.list_(PIECE)), pa.array(found, pa.list_(SEAM))], names=[*[batch.schema.names[k] for k in keep], "pieces", "seams"])
 
 
-def split_bands(cells: DataFrame, limits: DataFrame) -> DataFrame:
-    """One row per band that is too large: ``raster_id, band, pieces, seams``.
+def split_bands(cells: DataFrame, limits: DataFrame, raster: Sequence[str] = ("raster_id",)) -> DataFrame:
+    """One row per band that is too large: ``raster, band, pieces, seams``.
 
-    ``cells`` has ``raster_id, band, row, col, valid``, each cell once; ``limits`` has ``raster_id, max_cells,
-    overlap_cells``, one row per raster. Bands with more cells than ``max_cells`` are split; a null or missing limit
-    splits nothing, a null overlap counts as 0, a limit below 1 as 1. Other columns are ignored; rows with a null raster,
-    band, row or column are dropped, a null ``valid`` counts as false. Empty tables give no rows.
+    ``cells`` has ``raster, band, row, col, valid``, each cell once; ``limits`` has ``raster, max_cells, overlap_cells``,
+    one row per raster; ``raster`` names the columns that tell rasters apart. Bands with more cells than ``max_cells`` are
+    split; a null or missing limit splits nothing, a null overlap counts as 0, a limit below 1 as 1. Other columns are
+    ignored; rows with a null raster, band, row or column are dropped, a null ``valid`` counts as false. Empty tables give
+    no rows.
     """
+    keys = [*raster, "band"]
     axes = F.explode(F.array(F.struct(F.lit("row").alias("axis"), F.col("row").alias("at")), F.struct(F.lit("col").alias("axis"), F.col("col").alias("at")))).alias("line")
-    known = cells.dropna(subset=["raster_id", "band", "row", "col"])
-    lines = known.select("raster_id", "band", "valid", axes).groupBy("raster_id", "band", "line.axis", "line.at").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.coalesce("valid", F.lit(False))).alias("valid"))
-    bands = lines.groupBy("raster_id", "band").agg(F.sum("cells").alias("twice"), F.collect_list(F.struct("axis", "at", "cells", "valid")).alias("lines"))
-    large = bands.join(limits.select("raster_id", "max_cells", "overlap_cells"), "raster_id").where("twice / 2 > max_cells")
-    schema = f"raster_id string, band {cells.schema['band'].dataType.simpleString()}, pieces {PIECE_DDL}, seams array<struct<axis: string, seam_at: int>>"
-    return large.select("raster_id", "band", "lines", "max_cells", "overlap_cells").mapInArrow(_split, schema)
+    known = cells.dropna(subset=[*keys, "row", "col"])
+    lines = known.select(*keys, "valid", axes).groupBy(*keys, "line.axis", "line.at").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.coalesce("valid", F.lit(False))).alias("valid"))
+    bands = lines.groupBy(*keys).agg(F.sum("cells").alias("twice"), F.collect_list(F.struct("axis", "at", "cells", "valid")).alias("lines"))
+    large = bands.join(limits.select(*raster, "max_cells", "overlap_cells"), list(raster)).where("twice / 2 > max_cells")
+    schema = T.StructType([*cells.select(*keys).schema.fields, *T._parse_datatype_string(f"pieces {PIECE_DDL}, seams array<struct<axis: string, seam_at: int>>").fields])
+    return large.select(*keys, "lines", "max_cells", "overlap_cells").mapInArrow(_split, schema)
