@@ -174,13 +174,14 @@ def band_of(histograms: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.n
 def with_bands(stats: DataFrame, grades: DataFrame, least_words: int = 100, least_english: float = 0.5, fit: int = FIT_DOCUMENTS) -> DataFrame:
     """``doc_id, band, band_share`` of documents with enough English prose.
 
-    ``grades`` has ``doc_id, grade`` (1 to 5), any number per document; others are ignored. The bands are fitted on at
-    most ``fit`` rated documents, chosen by a hash of their ids. Without any rated document there are no bands, and the
+    ``grades`` has ``doc_id, grade`` (1 to 5), any number per document; others are ignored. The bands are fitted on about
+    ``fit`` rated documents at most, chosen by a hash of their ids. Without any rated document there are no bands, and the
     result is empty.
     """
     enough = stats.where(f"n_words >= {int(least_words)} AND english > {float(least_english)}")
     votes = grades.where("grade BETWEEN 1 AND 5").groupBy("doc_id").agg(F.collect_list("grade").alias("votes"))
-    rated = enough.join(votes, "doc_id").select("histogram", "votes", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(int(fit)).toArrow()
+    part = min(1.0, fit / max(1, votes.count()))  # of the hashes' range, so that no task sends more than its part
+    rated = enough.join(votes, "doc_id").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30))).select("histogram", "votes").limit(2 * int(fit)).toArrow()
     if not rated.num_rows:
         return stats.sparkSession.createDataFrame([], "doc_id bigint, band int, band_share double")
     histograms = np.array(rated["histogram"].to_pylist(), dtype="float64")
