@@ -42,7 +42,7 @@ def _one_pass(x: Column, name: str) -> Column:
         "mean": lambda: F.avg(x), "median": lambda: F.median(x), "max": lambda: F.max(x), "min": lambda: F.min(x), "sum": lambda: F.sum(x),
         "sum_of_squares": lambda: F.sum(x * x), "p90": lambda: F.percentile(x, 0.9), "le90": lambda: linear_error(x, 90),
         "iqr": lambda: F.percentile(x, 0.75) - F.percentile(x, 0.25), "rmse": lambda: F.sqrt(F.avg(x * x)), "std": lambda: F.stddev_pop(x),
-        "valid_count": lambda: F.count(x), "total_count": lambda: F.count(F.lit(1)), "percent_valid": lambda: 100.0 * F.count(x) / F.count(F.lit(1)),
+        "valid_count": lambda: F.count(x), "total_count": lambda: F.count(F.lit(1)), "percent_valid": lambda: 100.0 * F.try_divide(F.count(x), F.count(F.lit(1))),
     }[name]()
 
 

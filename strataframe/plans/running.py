@@ -24,10 +24,10 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     kept = store(ranged, "ranged")
     own = kept.groupBy(*keys, "_stretch").agg(F.sum(value).alias("_own"))
     before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    starts = own.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_stretch").alias("_s"), F.coalesce(F.sum("_own").over(before), F.lit(0)).alias("_start"))
+    starts = own.select(*[F.col(k).alias(f"_of_{i}") for i, k in enumerate(keys)], F.col("_stretch").alias("_s"), F.coalesce(F.sum("_own").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*keys, "_stretch").orderBy(*order)
     summed = kept.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    match = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    match = [F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate(keys)]
     match.append(F.col("_stretch") == F.col("_s"))
     joined = summed.join(starts, on=match)
     return joined.select(*[F.col(c) for c in df.columns], (F.col("_in") + F.col("_start")).alias(out))

@@ -154,12 +154,12 @@ def cumsum(spark, d):
 
 def _gradient_sql(axis: str, other: str) -> str:
     w = f"(PARTITION BY {other} ORDER BY {axis})"
-    return r6(f"CASE WHEN lag({axis}) OVER {w} IS NULL THEN lead(value) OVER {w} - value WHEN lead({axis}) OVER {w} IS NULL THEN value - lag(value) OVER {w} ELSE (lead(value) OVER {w} - lag(value) OVER {w}) / 2 END")
+    return r8(f"CASE WHEN lag({axis}) OVER {w} IS NULL THEN lead(value) OVER {w} - value WHEN lead({axis}) OVER {w} IS NULL THEN value - lag(value) OVER {w} ELSE (lead(value) OVER {w} - lag(value) OVER {w}) / 2 END")
 
 
 @query("gradient", f"SELECT row, col, {_gradient_sql('row', 'col')} AS d_row, {_gradient_sql('col', 'row')} AS d_col FROM f5", SQL_F5)
 def gradient(spark, d):
-    return rounded(f5(spark, d).gradient().select("row", "col", "d_row", "d_col"), "d_row", "d_col")
+    return rounded(f5(spark, d).gradient().select("row", "col", "d_row", "d_col"), "d_row", "d_col", digits=8)
 
 
 @query("argmax", "SELECT (SELECT row * 50 + col FROM f5 WHERE value IS NOT NULL ORDER BY value DESC, row, col LIMIT 1) AS argmax, (SELECT row * 50 + col FROM f5 WHERE value IS NOT NULL ORDER BY value, row, col LIMIT 1) AS argmin", SQL_F5)
