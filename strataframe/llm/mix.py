@@ -75,9 +75,10 @@ def mix(records: DataFrame, targets: DataFrame, total: int | None = None, seed:
     known = records.select("id", "source", F.col("size").cast("bigint").alias("size"), F.col("weight").cast("double").alias("weight"))
     known = store(known.where("id IS NOT NULL AND source IS NOT NULL AND size > 0 AND weight > 0 AND weight < double('Infinity')"), "sized")
     have = known.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum("size").alias("available"))
-    fair = targets.where("target_share > 0 AND max_repeats > 0").select("source", F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats"))
+    asked = targets.dropna(subset=["source"]).select("source", F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats"))
     whole = F.lit(int(total)) if total is not None else F.sum("available").over(_all())
-    goal = have.join(fair, "source", "full").withColumn("share", F.col("target_share") / F.sum("target_share").over(_all()))
+    counted = F.when((F.col("target_share") > 0) & (F.col("max_repeats") > 0), F.col("target_share"))
+    goal = have.join(asked, "source", "full").withColumn("share", F.try_divide(counted, F.sum(counted).over(_all())))
     goal = store(goal.withColumn("target_size", F.coalesce(F.round(F.col("share") * whole), F.lit(0.0)).cast("bigint")), "goal")
 
     wanted = goal.where("target_size > 0 AND records > 0").select("source", "target_size", "max_repeats")
