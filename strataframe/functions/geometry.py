@@ -219,7 +219,10 @@ def drop_repeated(g: str | Column) -> Column:
 
 
 def segmentize(g: str | Column, most: float) -> Column:
-    """Vertices added so that no segment is longer than ``most``, evenly within each."""
+    """Vertices added so that no segment is longer than ``most``, evenly within each.
+
+    Spark can't hand this expression to a Python function in the same stage; write it out in between.
+    """
 
     def dense(r: Column) -> Column:
         n = F.greatest(F.size(r) - 1, F.lit(0))

@@ -27,8 +27,7 @@ def _moved(spark, d):
 
 @query("shape_hulls", f"SELECT feature_id, 2000.0::DOUBLE AS hull, 2000.0::DOUBLE AS rect, {r6('sqrt(100 * 100 + 20 * 20) / 2')} AS radius, 5 AS n FROM f4")
 def shape_hulls(spark, d):
-    dense = f4(spark, d).select("feature_id", "geom", G.segmentize("geom", 7.0).alias("dense"))
-    made = dense.select("feature_id", K.convex_hull("geom").alias("h"), K.minimum_rotated_rectangle("geom").alias("r"), K.minimum_bounding_radius("geom").alias("radius"), K.simplify("dense", F.lit(0.01)).alias("s"))
+    made = f4(spark, d).select("feature_id", K.convex_hull("geom").alias("h"), K.minimum_rotated_rectangle("geom").alias("r"), K.minimum_bounding_radius("geom").alias("radius"), K.simplify(G.translate("geom", 1.0), F.lit(0.01)).alias("s"))
     return rounded(made.select("feature_id", G.area("h").alias("hull"), G.area("r").alias("rect"), "radius", G.count_coordinates("s").alias("n")), "hull", "rect", "radius")
 
 
