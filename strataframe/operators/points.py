@@ -104,7 +104,7 @@ def grid_nearest(points: DataFrame, grid: Grid, value: str = "value", reach: flo
     sent = sent.withColumns({"row": F.floor("i").cast("int") + F.col("dr"), "col": F.floor("j").cast("int") + F.col("dc")})
     di, dj = F.col("row") - F.col("i"), F.col("col") - F.col("j")
     close = sent.where((F.abs(di) <= reach) & (F.abs(dj) <= reach) & ~outside(grid, F.col("row"), F.col("col")))
-    best = close.groupBy("row", "col").agg(F.min_by("v", F.struct(di * di + dj * dj, "point_id")).alias("value"))
+    best = close.groupBy("row", "col").agg(F.min_by("v", F.struct(F.round(di * di + dj * dj, 9), "point_id")).alias("value"))
     return Raster(best.select(F.lit(1).alias("band"), "row", "col", "value"), grid).dense()
 
 
