@@ -52,11 +52,8 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def stretch(item: np.ndarray, text: np.ndarray, gap: int = 1) -> tuple[int, int, int]:
-    """Most words of ``item`` that stand in ``text`` in order as one stretch, and the stretch's ends in ``text``.
-
-    Between matching words, up to ``gap`` words may be changed, inserted or left out.
-    """
+def _align(item: np.ndarray, text: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Most words of a stretch that ends at each pair of words of ``item`` and ``text``, and where it starts in ``text``."""
     n, w, pad = len(item), len(text), gap + 1
     best = np.zeros((n + pad, w + pad), "int32")
     start = np.zeros((n + pad, w + pad), "int32")
@@ -73,9 +70,44 @@ def stretch(item: np.ndarray, text: np.ndarray, gap: int = 1) -> tuple[int, int,
                     origin = np.where(better, start[i + gap - a, gap - b : gap - b + w], origin)
         best[i + pad, pad:] = np.where(same[i], score + 1, 0)
         start[i + pad, pad:] = np.where(same[i], origin, 0)
-    top = int(np.argmax(best))
-    i, j = divmod(top, w + pad)
-    return int(best[i, j]), int(start[i, j]), j - pad + 1
+    return best, start
+
+
+def stretch(item: np.ndarray, text: np.ndarray, gap: int = 1) -> tuple[int, int, int]:
+    """Most words of ``item`` that stand in ``text`` in order as one stretch, and the stretch's ends in ``text``.
+
+    Between matching words, up to ``gap`` words may be changed, inserted or left out.
+    """
+    best, start = _align(item, text, gap)
+    i, j = divmod(int(np.argmax(best)), best.shape[1])
+    return int(best[i, j]), int(start[i, j]), j - gap
+
+
+def stretches(item: np.ndarray, text: np.ndarray, need: float, gap: int = 1) -> list[tuple[int, int, int]]:
+    """All stretches (see :func:`stretch`) of at least ``need`` words, the longest first, that do not overlap.
+
+    What lies between those found is aligned again by itself, until none of ``need`` words is left.
+    """
+    found, parts = [], [(0, len(text))]
+    while parts:
+        low, high = parts.pop()
+        if high - low < max(1, need):
+            continue
+        best, start = _align(item, text[low:high], gap)
+        row = np.argmax(best, axis=0)
+        column = np.arange(best.shape[1])
+        count, begin = best[row, column], start[row, column]
+        ends = np.flatnonzero(count >= max(1, need))
+        taken = np.zeros(high - low, bool)
+        for j in ends[np.argsort(-count[ends], kind="stable")]:
+            s, e = int(begin[j]), int(j) - gap
+            if not taken[s:e].any():
+                taken[s:e] = True
+                found.append((int(count[j]), low + s, low + e))
+        left = ends[~taken[ends - gap - 1]] - gap - 1  # last words of stretches that lay partly in those found
+        edges = np.flatnonzero(np.diff(np.r_[True, taken, True]))
+        parts += [(low + int(a), low + int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True) if np.searchsorted(left, a) < np.searchsorted(left, b)]
+    return sorted(found, key=lambda f: (-f[0], f[1]))
 
 
 def _search_shard(phrases: Phrases, text: np.ndarray, ends: np.ndarray, owner: list[tuple[int, int]], least: float) -> Iterator[tuple]:
@@ -102,6 +134,7 @@ def _search_shard(phrases: Phrases, text: np.ndarray, ends: np.ndarray, owner: l
     distinct = np.bincount(np.unique(group * width + place) // width, minlength=len(first))
     # an edit after every phrase leaves one phrase for each ``size`` words of the stretch
     enough = np.flatnonzero(distinct >= np.maximum(1, least * phrases.length[item[first]] / phrases.size - 1))
+    windows: list[list[int]] = []  # stream, item, from, to
     for g in enough:
         a, b = first[g], last[g]
         words = phrases.words[item[a]]
@@ -111,9 +144,15 @@ def _search_shard(phrases: Phrases, text: np.ndarray, ends: np.ndarray, owner: l
         if b - a + 1 < 4 * len(words):  # few places: the stretch can't reach farther than its edits allow
             low_ = max(low_, int((at[a : b + 1] - 2 * place[a : b + 1]).min()) - 4)
             high_ = min(high_, int((at[a : b + 1] + 2 * (len(words) - place[a : b + 1])).max()) + 4)
-        count, s, e = stretch(words, text[low_:high_])
-        if count >= least * len(words):
-            yield (*owner[own], phrases.ids[item[a]], count / len(words), low_ + s - begin, low_ + e - begin)
+        if windows and windows[-1][:2] == [own, int(item[a])] and low_ < windows[-1][3]:  # neighbours see the same words: once
+            windows[-1][2:] = min(low_, windows[-1][2]), max(high_, windows[-1][3])
+        else:
+            windows.append([own, int(item[a]), low_, high_])
+    for own, k, low_, high_ in windows:
+        begin = int(ends[own - 1]) if own else 0
+        words = phrases.words[k]
+        for count, s, e in stretches(words, text[low_:high_], least * len(words)):
+            yield (*owner[own], phrases.ids[k], count / len(words), low_ + s - begin, low_ + e - begin)
 
 
 def _search(phrases: Phrases, least: float, shard: int):
@@ -159,7 +198,7 @@ def leaks(documents: DataFrame, items: DataFrame, least: float = 0.5, size: int
     """Documents that hold at least the share ``least`` of an item's words as one stretch.
 
     ``documents`` has ``doc_id, text``, ``items`` has ``item_id, item_text``; other columns are ignored. One row per
-    stretch: ``doc_id, item_id, share, stream, first_word, end_word`` (word positions within a stream of the document: its
+    stretch (those of one item do not overlap, and no further one is left between them): ``doc_id, item_id, share, stream, first_word, end_word`` (word positions within a stream of the document: its
     source, an aside or its comments; the end is exclusive). Rows with a null id or text take no part; documents that
     repeat give their rows again; of items with one id the greatest text counts. Items of fewer words than a phrase are
     not searched. Empty tables give no rows. Items are sent to the tasks in blocks of at most ``block`` rows, one pass over

@@ -62,6 +62,20 @@ def test_found_and_spans(spark):
     assert leaks(documents.limit(0), items).count() == 0 and leaks(documents, items.limit(0)).count() == 0
 
 
+def test_every_copy_of_an_item_gives_a_span(spark):
+    item, half = " ".join(WORDS[:40]), " ".join(WORDS[10:32])
+    docs = [
+        (1, f"{item} {item}"), (2, f"{item} {'x ' * 10} {half} {'x ' * 60} {item} {'x ' * 45} {item}"), (3, f"{item} " * 30),
+        (4, f"{' '.join(WORDS[:30])} {item} {half}"),
+    ]
+    out = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, item_text string")).collect()
+    got = {d: sorted((r.first_word, r.end_word) for r in out if r.doc_id == d) for d, _ in docs}
+    assert got[1] == [(0, 40), (40, 80)]
+    assert got[2] == [(0, 40), (50, 72), (132, 172), (217, 257)]
+    assert got[3] == [(40 * k, 40 * k + 40) for k in range(30)]
+    assert got[4] == [(0, 30), (30, 70), (70, 92)]
+
+
 def test_dense_edits_against_alignment(spark):
     rng = np.random.default_rng(4)
     items = [(k, [WORDS[j] for j in rng.permutation(300)[:50]]) for k in range(8)]
