@@ -3,12 +3,14 @@
 Each partition keeps a reservoir and counts what it has seen (Algorithm L: the number of rows to skip before the next
 one that enters is drawn at once, so work is in proportion to the rows that enter). Reservoirs are merged by drawing how
 many rows each part gives from the multivariate hypergeometric distribution over what the parts represent: a random
-subset of a reservoir is then a part of a uniform sample of all. Only the counts of the parts meet in one place.
+subset of a reservoir is then a part of a uniform sample of all. Only the counts of the parts meet in one place; the
+distribution is drawn by numbering all rows and drawing the sample's numbers, as numpy's own ends at 10**9 rows.
 """
 
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -93,19 +95,19 @@ def _fill(sizes: dict[str, int], seed: int, width: int):
     return fill
 
 
+def part_shares(counts: np.ndarray, size: int, rng: random.Random) -> list[int]:
+    """How many of ``size`` rows (all, if they are fewer) drawn without replacement come from each part of ``counts`` rows."""
+    ends = np.cumsum(counts, dtype="int64")
+    total = int(ends[-1]) if len(ends) else 0
+    drawn = np.array(rng.sample(range(total), min(size, total)), dtype="int64")
+    return np.bincount(np.searchsorted(ends, drawn, side="right"), minlength=len(ends)).tolist()
+
+
 def _shares(sizes: dict[str, int], seed: int):
     def shares(scope: pd.Series, key: pd.Series, seen: pd.Series) -> pd.Series:
         out = []
         for s, k, counts in zip(scope, key, seen, strict=True):
-            counts = np.asarray(counts, dtype="int64")
-            mark = int.from_bytes(f"{s}\0{k}".encode()[-16:], "big")
-            rng = np.random.default_rng([seed, 1, mark])
-            left, total, given = min(sizes[s], int(counts.sum())), int(counts.sum()), []
-            for c in counts:
-                take = int(rng.hypergeometric(int(c), total - int(c), left)) if left else 0
-                given.append(take)
-                left, total = left - take, total - int(c)
-            out.append(given)
+            out.append(part_shares(np.asarray(counts, dtype="int64"), sizes[s], random.Random(f"{seed}\0{s}\0{k}")))
         return pd.Series(out)
 
     return F.pandas_udf(shares, "array<bigint>")

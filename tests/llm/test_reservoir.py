@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from strataframe.llm.reservoir import Reservoir, reservoir_sample
+from strataframe.llm.reservoir import Reservoir, _shares, part_shares, reservoir_sample
 
 
 def test_reservoir_is_uniform_in_pieces():
@@ -32,6 +34,15 @@ def test_sample_is_uniform_over_unequal_parts(spark):
     assert sum((hits[k] - expected) ** 2 / expected for k in range(44)) * 44 / (44 - 11) < 77.4 * 1.5
 
 
+def test_shares_of_more_than_a_thousand_million_rows():
+    counts = [3 * 10**9, 10**12, 0, 5, 10**12]
+    given = _shares({"all": 1000}, 4).func(pd.Series(["all"]), pd.Series([None]), pd.Series([counts]))[0]
+    assert sum(given) == 1000 and given[2] == 0 and 400 < given[1] < 600 and 400 < given[4] < 600
+    assert part_shares(np.array([2, 0, 3]), 9, random.Random(1)) == [2, 0, 3] and part_shares(np.array([5, 5]), 0, random.Random(1)) == [0, 0]
+    hits = Counter(part_shares(np.array([2, 3]), 2, random.Random(k))[0] for k in range(4000))
+    assert sum((hits[k] - 400 * e) ** 2 / (400 * e) for k, e in ((0, 3), (1, 6), (2, 1))) < 13.9  # chi-square, 2 degrees, p = 0.001
+
+
 def test_groups_nulls_small_groups_clashes_and_empty(spark):
     df = spark.createDataFrame([(k, "a" if k < 50 else None, k) for k in range(53)], "id long, key string, part long")
     out = reservoir_sample(df, {"all": (None, 5), "by": ("key", 10)}, 1)
