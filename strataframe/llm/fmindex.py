@@ -2,7 +2,8 @@
 
 The Burrows-Wheeler transform comes from a suffix array by prefix doubling that re-sorts only what is still tied. Ranks
 come from a wavelet matrix (one prefix-summed bit row per bit of the alphabet); places from suffix positions sampled at
-every ``rate``-th text position and a walk along the last-to-first mapping.
+every ``rate``-th text position and at each text's first, and a walk along the last-to-first mapping, which so never
+crosses a separator.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ class FMIndex:
         self.length = len(text)
         self.counts = np.r_[0, np.cumsum(np.bincount(text, minlength=size))].astype("int64")
         self.tree = WaveletMatrix(text[order - 1], size)
-        kept = order % rate == 0
+        kept = (order % rate == 0) | (text[order - 1] == 0)
         self.sampled = kept
         self.sample_rank = np.r_[0, np.cumsum(kept)].astype("int64")
         self.samples = order[kept]

@@ -25,6 +25,15 @@ def test_index_against_scan(n, size):
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
+def test_places_in_many_short_texts():
+    rng = np.random.default_rng(5)
+    text = np.concatenate([np.append(rng.integers(1, 4, n), 0) for n in rng.integers(1, 12, 300)])
+    index = FMIndex(text, 4)
+    grams = np.array([(a, b) for a in (1, 2, 3) for b in (1, 2, 3)])
+    for g, a, b in zip(grams, *index.search(grams), strict=True):
+        assert sorted(index.locate(np.arange(a, b)).tolist()) == [i for i in range(len(text) - 1) if (text[i : i + 2] == g).all()]
+
+
 def test_stretch_bridges_single_edits():
     item = np.arange(10, 30)
     text = np.r_[1, 1, item[:6], 1, item[7:12], 1, item[12:], 1]
