@@ -26,9 +26,9 @@ def latest_value(df: DataFrame, keys: Sequence[str], value: str, stamp: str, clu
 
     ``cluster`` (default: the keys) is a subset of the keys to shuffle by, so that a following aggregate by it needs no
     further shuffle. A null in a key is a key like any other. Among rows of one key and stamp the greatest value counts (NaN above all, null below all).
-    ``stamp`` comes back as microseconds since 1970 in ``_at``.
+    ``stamp`` comes back as microseconds since 1970 in ``_at``; a null stamp counts as older than any and stays null.
     """
     stamped = df.select(*keys, F.col(value).cast("double").alias(value), F.coalesce(F.unix_micros(stamp), F.lit(-(2**63))).alias("_at"))
     tasks = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small hash tables stay in the cache
     spread = stamped.repartition(tasks, *(cluster or keys))
-    return spread.groupBy(*keys, "_at").agg(F.max(value).alias(value)).groupBy(*keys).agg(F.max_by(value, "_at").alias(value), F.max("_at").alias("_at"))
+    return spread.groupBy(*keys, "_at").agg(F.max(value).alias(value)).groupBy(*keys).agg(F.max_by(value, "_at").alias(value), F.nullif(F.max("_at"), F.lit(-(2**63))).alias("_at"))

@@ -15,6 +15,20 @@ def test_query(spark, duck, data, name):
         assert df.count() > 0
 
 
+def test_percentiles_with_null_stamps(spark, duck, data, tmp_path):
+    for name, stamp in (("raster_pixels", "CASE WHEN col % 3 > 0 THEN loaded_at END"), ("raster_grids", "updated_at"), ("pointcloud_points", "CASE WHEN point_id % 3 > 0 THEN loaded_at END")):
+        column = stamp.split()[-2] if " " in stamp else stamp
+        few = "WHERE point_id % 20 < 4" if name == "pointcloud_points" else "WHERE raster_id IN (SELECT DISTINCT raster_id FROM raster_grids ORDER BY 1 LIMIT 4)"
+        duck.sql(f"COPY (SELECT * REPLACE ({stamp} AS {column}) FROM {name} {few}) TO '{tmp_path}/{name}.parquet'")
+    con = duck.cursor()
+    con.sql("SET timezone = 'UTC'")
+    for f in tmp_path.iterdir():
+        con.sql(f"CREATE TEMP VIEW {f.stem} AS SELECT * FROM '{f}'")
+    want = con.sql(q.ORACLES["p1_percentiles"])
+    assert con.sql("SELECT count(*) FROM raster_pixels WHERE loaded_at IS NULL").fetchall()[0][0] > 0
+    assert_same(q.p1_percentiles(spark, str(tmp_path)), want)
+
+
 def test_pieces_cover_and_fit(spark, duck, data):
     pieces = q.p5_pieces(spark, data).toPandas()
     cells = duck.sql("SELECT DISTINCT raster_id, band, \"row\" AS r, col AS c FROM raster_pixels").df()
