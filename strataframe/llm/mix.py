@@ -24,8 +24,6 @@ from strataframe.plans.workspace import store
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Source's copies per unit of weight are found by repeated division; each round caps at least one more weight.
-ROUNDS = 30
 
 
 @lru_cache(maxsize=2)
@@ -81,21 +79,14 @@ def mix(records: DataFrame, targets: DataFrame, total: int | None = None, seed:
     goal = have.join(asked, "source", "full").withColumn("share", F.try_divide(counted, F.sum(counted).over(_all())))
     goal = store(goal.withColumn("target_size", F.coalesce(F.round(F.col("share") * whole), F.lit(0.0)).cast("bigint")), "goal")
 
-    wanted = goal.where("target_size > 0 AND records > 0").select("source", "target_size", "max_repeats")
-    rate = wanted.select("source", "target_size", "max_repeats", F.lit(0.0).alias("rate"))
-    for _ in range(ROUNDS):
-        capped = F.col("weight") * F.col("rate") >= F.col("max_repeats")
-        sums = known.join(rate, "source").groupBy("source").agg(
-            F.first("target_size").alias("target_size"), F.first("max_repeats").alias("max_repeats"), F.first("rate").alias("before"),
-            F.sum(F.when(capped, F.col("size"))).alias("full"), F.sum(F.when(~capped, F.col("size") * F.col("weight"))).alias("open"),
-        )
-        rest = F.col("target_size") - F.col("max_repeats") * F.coalesce("full", F.lit(0))
-        new = F.when(F.col("open") > 0, F.greatest(F.col("before"), rest / F.col("open"))).otherwise(F.col("before"))
-        after = store(sums.select("source", "target_size", "max_repeats", "before", new.alias("rate")), "rate")
-        moved = after.where("rate > before * (1 + 1e-9)").count()
-        rate = after.drop("before")
-        if not moved:
-            break
+    wanted = goal.where("target_size > 0 AND records > 0").select("source", "target_size", "max_repeats", "available")
+    # the heaviest weight below its cap gives the copies per unit of weight: all heavier ones are capped, it and lighter ones are not
+    each = known.join(wanted.select("source"), "source").groupBy("source", "weight").agg(F.sum("size").alias("size")).withColumn("mass", F.col("size") * F.col("weight"))
+    sums = running_sum(running_sum(each, ["source"], ["weight"], "size", "upto"), ["source"], ["weight"], "mass", "open")
+    left = F.col("target_size") - F.col("max_repeats") * (F.col("available") - F.col("upto"))
+    free = sums.join(wanted, "source").where(F.col("weight") * left < F.col("max_repeats") * F.col("open"))
+    found = free.groupBy("source").agg(F.max_by(left / F.col("open"), F.col("weight")).alias("rate"))
+    rate = wanted.drop("available").join(found, "source", "left").withColumn("rate", F.coalesce("rate", F.lit(float("inf"))))
 
     expected = F.least(F.col("weight") * F.col("rate"), F.col("max_repeats").cast("double"))
     each = known.join(rate, "source").withColumn("expected", expected).withColumn("sure", F.floor(F.col("expected") + 1e-9).cast("int"))

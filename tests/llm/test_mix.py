@@ -26,6 +26,13 @@ def test_shares_caps_and_repeats(spark):
     assert sum(heavy) / 300 > 2 * sum(light) / 300
 
 
+def test_target_is_met_with_widely_spread_weights(spark):
+    records = spark.range(60).select("id", F.lit("s").alias("source"), F.lit(10).alias("size"), F.pow(F.lit(1000.0), F.col("id")).alias("weight"))
+    targets = spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int")
+    chosen, report = mix(records, targets, total=500)
+    assert report.first().reached_size == 500 and {r.id for r in chosen.collect()} >= set(range(11, 60))
+
+
 def test_inclusion_follows_chances(spark):
     records = spark.range(200).select("id", F.lit("s").alias("source"), F.lit(10).alias("size"), F.when(F.col("id") < 100, 1.0).otherwise(3.0).alias("weight"))
     targets = spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int")
