@@ -1,28 +1,56 @@
 """Parent-child links to full hierarchies by pointer doubling.
 
-Every row points to its parent. In each round, a row that has not met its root takes over its pointer's pointer, so
-that after r rounds it has looked 2**r steps up: trees of depth d take log2(d) rounds. A round is one join of the
-unresolved rows with the pointers of all rows; rows that met their root are written once and never shuffled as probes again.
+Nodes without children only need what their parent gets, so the doubling runs over the inner nodes alone. Each points to
+its parent. In each round, a node that has not met its root takes over its pointer's pointer, so that after r rounds it
+has looked 2**r steps up: trees of depth d take log2(d) rounds. A round is one join of the unresolved nodes with the
+pointers of the nodes they point to. What is pointed to only ever gets less, so the pointers are cut down to it whenever
+the unresolved have halved. Childless nodes join their parents once, at the end.
 
-Rows that are unresolved after r rounds number U. A row whose chain ends has a chain of unresolved rows above its
+Nodes that are unresolved after r rounds number U. One whose chain ends has a chain of unresolved nodes above its
 2**r-th ancestor, all different, so its depth is below U + 2**r. Once a jump is longer than that, what is left is on a
-cycle or leads into one. Then every remaining pointer stands on a cycle, and each row of a cycle is pointed to.
+cycle or leads into one. Then every remaining pointer stands on a cycle, and each node of a cycle is pointed to.
+
+Joins are sort-merge joins, whatever the sizes of files suggest: paths are far larger in memory than on disk. Only
+tables of counted rows without paths are broadcast. Where many nodes share a parent, adaptive execution splits the
+join's large partitions; the number of children is counted before it is shuffled.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataframe.plans.running import running_sum
 from strataframe.plans.workspace import discard, store
 
 ON_CYCLE, INTO_CYCLE, TREE = "cycle", "into-cycle", "tree"
-#: Unresolved rows are broadcast up to this many (each holds two keys and a number, about 100 bytes in memory).
+#: Pointers are broadcast up to twice this many (each holds two keys and a number, about 100 bytes in memory).
 BROADCAST_ROWS = 40_000
 
 
+def _join(left: DataFrame, right: DataFrame, on: Column | str, how: str = "inner", small: bool = False) -> DataFrame:
+    return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _inner_nodes(pairs: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame]:
+    """Nodes with children, ``id, up, jump, met`` (and ``seg``: the ancestors up to ``up``, the farthest first), and the other nodes, ``id, up``."""
+    counted = pairs.where("up IS NOT NULL").groupBy(F.col("up").alias("at")).agg(F.count(F.lit(1)).alias("kids"))
+    nodes = store(_join(pairs, counted, F.col("id") == F.col("at"), "full").select("id", "up", "at"), "nodes")
+    gone = nodes.where("id IS NULL").select(F.col("at").alias("gone"))
+    inner = nodes.where("id IS NOT NULL AND at IS NOT NULL").select("id", "up")
+    met = F.col("up").isNull() | F.col("gone").isNotNull()
+    seg = [F.when(met, F.array().cast(f"array<{inner.schema['up'].dataType.simpleString()}>")).otherwise(F.array("up")).alias("seg")] * paths
+    jump = F.when(met, 0).otherwise(1).cast("bigint")
+    flagged = _join(inner, gone, F.col("up") == F.col("gone"), "left", small=gone.count() <= BROADCAST_ROWS)
+    return flagged.select("id", F.when(met, F.col("id")).otherwise(F.col("up")).alias("up"), jump.alias("jump"), met.alias("met"), *seg), nodes.where("id IS NOT NULL AND at IS NULL").select("id", "up")
+
+
 def hierarchy(links: DataFrame, node: str = "id", parent: str = "parent", paths: bool = False) -> DataFrame:
     """One row per node: ``node, root, depth, kind`` and, with ``paths``, ``path`` (array from the root to the node).
 
@@ -33,50 +61,44 @@ def hierarchy(links: DataFrame, node: str = "id", parent: str = "parent", paths:
     """
     pairs = links.select(F.col(node).alias("id"), F.col(parent).alias("up")).dropna(subset=["id"]).groupBy("id").agg(F.max("up").alias("up"))
     pairs = store(pairs, "links")
-    known = pairs.select(F.col("id").alias("up"), F.lit(True).alias("known"))
-    segment = [F.array("up").alias("seg")] if paths else []
-    keep = ["id", "up", "jump"] + ["seg"] * paths
-
-    first = pairs.where("up IS NOT NULL").join(known, "up", "left_semi").select("id", "up", F.lit(1).cast("long").alias("jump"), *segment)
-    active = store(first, "active")
-    roots = pairs.join(active.select("id"), "id", "left_anti")
-    roots = roots.select("id", F.col("id").alias("up"), F.lit(0).cast("long").alias("jump"), *([F.array().cast(active.schema["seg"].dataType).alias("seg")] if paths else []))
-    done = [store(roots, "done")]
+    first, leaves = _inner_nodes(pairs, paths)
+    step = store(first, "inner")
     discard(pairs)
 
-    reach, waiting = 1, active.count()
+    done, active, far = [step.where("met")], step.where("NOT met"), [step]
+    pointers, waiting, reach = step.count(), active.count(), 1
     bound = waiting + 1
-    seen, few = done[:], False
     while waiting and reach <= bound:
-        far = reduce(DataFrame.unionAll, [d.select(*keep, F.lit(True).alias("met")) for d in seen], active.select(*keep, F.lit(False).alias("met")))
-        if waiting <= BROADCAST_ROWS and not few:
-            # from now on pointers only lead to what is pointed to now
-            goals = F.broadcast(active.select(F.col("up").alias("id")).distinct())
-            seen, few = [store(far.where("met").join(goals, "id", "left_semi").drop("met"), "goals")], True
-            continue
-        far = far.select(F.col("id").alias("at"), F.col("up").alias("far_up"), F.col("jump").alias("far_jump"), "met", *([F.col("seg").alias("far_seg")] if paths else []))
-        a = active.alias("a")
-        joined = far.join(F.broadcast(a) if few and not paths else a, F.col("at") == F.col("a.up"))
-        stepped = joined.select("a.id", F.col("far_up").alias("up"), (F.col("jump") + F.col("far_jump")).alias("jump"), *([F.concat("seg", "far_seg").alias("seg")] if paths else []), "met")
-        stepped = store(stepped.coalesce(1) if few and not paths else stepped, "step")
-        done.append(stepped.where("met").drop("met"))
-        seen.append(done[-1])
-        active, reach = stepped.where("NOT met").drop("met"), reach * 2
+        if waiting <= pointers // 2:
+            goals = active.select(F.col("up").alias("id")).distinct()
+            far, pointers = [store(_join(_union(far), goals, "id", "left_semi", small=waiting <= BROADCAST_ROWS), "goals")], waiting
+        small = not paths and waiting <= pointers <= BROADCAST_ROWS
+        seen = _union(far).select(F.col("id").alias("at"), F.col("up").alias("far_up"), F.col("jump").alias("far_jump"), "met", *[F.col("seg").alias("far_seg")] * paths)
+        joined = _join(active.drop("met"), seen, F.col("up") == F.col("at"), small=small)
+        seg = [F.concat("far_seg", "seg").alias("seg")] * paths
+        step = store(joined.select("id", F.col("far_up").alias("up"), (F.col("jump") + F.col("far_jump")).alias("jump"), "met", *seg), "step")
+        done.append(step.where("met"))
+        active, far, reach = step.where("NOT met"), [*[f.where("met") for f in far], step], reach * 2
         waiting = active.count()
         bound = min(bound, waiting + reach)
 
-    met = reduce(DataFrame.unionAll, [d.select(*keep) for d in done])
-    up_path = [F.reverse(F.concat(F.array("id"), "seg")).alias("path")] if paths else []
-    trees = met.select(F.col("id").alias(node), F.col("up").alias("root"), F.col("jump").cast("int").alias("depth"), F.lit(TREE).alias("kind"), *up_path)
-    if not waiting:
-        return trees
-    ends = active.select(F.col("up").alias("id")).distinct().withColumn("on", F.lit(True))
-    none = [F.lit(None).cast(t).alias(c) for c, t in trees.dtypes if c == "path"]
-    lost = active.select("id").join(ends, "id", "left").select(
-        F.col("id").alias(node), F.lit(None).cast(trees.schema["root"].dataType).alias("root"), F.lit(-1).alias("depth"),
-        F.when(F.col("on"), ON_CYCLE).otherwise(INTO_CYCLE).alias("kind"), *none,
+    path = [F.concat("seg", F.array("id")).alias("path")] * paths
+    known = _union(done).select("id", F.col("up").alias("root"), F.col("jump").cast("int").alias("depth"), F.lit(TREE).alias("kind"), *path)
+    types = {f.name: f.dataType for f in known.schema.fields}
+    none = [F.lit(None).cast(types[c]).alias(c) for c in ("path",) if paths]
+    if waiting:
+        ends = active.select(F.col("up").alias("id")).distinct().withColumn("on", F.lit(True))
+        kind = F.when(F.col("on"), ON_CYCLE).otherwise(INTO_CYCLE).alias("kind")
+        known = known.unionAll(_join(active.select("id"), ends, "id", "left").select("id", F.lit(None).cast(types["root"]).alias("root"), F.lit(-1).alias("depth"), kind, *none))
+    above = known.select(F.col("id").alias("at"), F.col("root").alias("far_root"), F.col("depth").alias("far_depth"), F.col("kind").alias("far_kind"), *[F.col("path").alias("far_path")] * paths)
+    root = F.col("far_kind").isNull()
+    tree = F.col("far_kind") == TREE
+    own = [F.when(root, F.array("id")).when(tree, F.concat("far_path", F.array("id"))).alias("path")] * paths
+    below = _join(leaves, above, F.col("up") == F.col("at"), "left").select(
+        "id", F.when(root, F.col("id")).when(tree, F.col("far_root")).alias("root"), F.when(root, 0).when(tree, F.col("far_depth") + 1).otherwise(-1).alias("depth"),
+        F.when(root | tree, TREE).otherwise(INTO_CYCLE).alias("kind"), *own,
     )
-    return trees.unionAll(lost)
+    return known.unionAll(below).withColumnRenamed("id", node)
 
 
 def descendants(tree: DataFrame, node: str = "id") -> DataFrame:
@@ -86,3 +108,15 @@ def descendants(tree: DataFrame, node: str = "id") -> DataFrame:
     """
     steps = tree.where("path IS NOT NULL").select(F.col(node).alias("descendant"), "depth", F.posexplode("path").alias("level", "ancestor"))
     return steps.where("level < depth").select("ancestor", "descendant", (F.col("depth") - F.col("level")).alias("distance"))
+
+
+def intervals(tree: DataFrame, node: str = "id") -> DataFrame:
+    """Places ``node, first, last`` in an order in which a node's descendants follow it without a gap.
+
+    ``b`` is below ``a`` exactly if ``a.first < b.first AND b.first <= a.last``, so all descendants of all nodes need one row per
+    node instead of one per pair. From the paths of :func:`hierarchy`; nodes on or above cycles have no place.
+    """
+    paths = tree.where("path IS NOT NULL").select(F.col(node).alias("id"), "path")
+    placed = running_sum(paths.withColumn("one", F.lit(1)), [], ["path"], "one", "first")
+    under = paths.select(F.explode("path").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("size"))
+    return _join(placed.select("id", "first"), under, "id").select(F.col("id").alias(node), "first", (F.col("first") + F.col("size") - 1).alias("last"))

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from strataframe.operators.hierarchy import descendants, hierarchy
+from strataframe.operators.hierarchy import descendants, hierarchy, intervals
 
 
 def brute(links: dict) -> dict:
@@ -53,3 +53,20 @@ def test_paths_and_descendants(spark):
     tree = hierarchy(df, paths=True)
     assert {r.id: r.path for r in tree.collect()} == {"a": ["a"], "b": ["a", "b"], "c": ["a", "b", "c"], "d": ["a", "b", "d"], "x": None, "y": None}
     assert sorted(map(tuple, descendants(tree).collect())) == [("a", "b", 1), ("a", "c", 2), ("a", "d", 2), ("b", "c", 1), ("b", "d", 1)]
+
+
+def test_intervals_hold_the_descendants(spark):
+    rng = random.Random(9)
+    links = [(f"n{k}", f"n{rng.randrange(k)}" if k and rng.random() < 0.95 else None) for k in range(80)] + [("x", "y"), ("y", "x")]
+    tree = hierarchy(spark.createDataFrame(links, "id string, parent string"), paths=True)
+    place = {r.id: (r.first, r.last) for r in intervals(tree).collect()}
+    assert sorted(p[0] for p in place.values()) == list(range(1, 81))
+    want = {(r.ancestor, r.descendant) for r in descendants(tree).collect()}
+    assert {(a, b) for a, (s, e) in place.items() for b, (t, _) in place.items() if s < t <= e} == want
+
+
+def test_path_joins_are_never_broadcast(spark):
+    links = [(k, k - 1 if k else None) for k in range(300)]
+    tree = hierarchy(spark.createDataFrame(links, "id long, parent long"), paths=True)
+    assert "Broadcast" not in tree._jdf.queryExecution().executedPlan().toString()
+    assert {len(r.path) - r.depth for r in tree.collect()} == {1}
