@@ -38,33 +38,23 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
-def _inner_nodes(pairs: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame]:
-    """Nodes with children, ``id, up, jump, met`` (and ``seg``: the ancestors up to ``up``, the farthest first), and the other nodes, ``id, up``."""
+def _inner_nodes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with children, ``id, up, jump, met``, and the other nodes, ``id, up``."""
     counted = pairs.where("up IS NOT NULL").groupBy(F.col("up").alias("at")).agg(F.count(F.lit(1)).alias("kids"))
     nodes = store(_join(pairs, counted, F.col("id") == F.col("at"), "full").select("id", "up", "at"), "nodes")
     gone = nodes.where("id IS NULL").select(F.col("at").alias("gone"))
     inner = nodes.where("id IS NOT NULL AND at IS NOT NULL").select("id", "up")
     met = F.col("up").isNull() | F.col("gone").isNotNull()
-    seg = [F.when(met, F.array().cast(f"array<{inner.schema['up'].dataType.simpleString()}>")).otherwise(F.array("up")).alias("seg")] * paths
-    jump = F.when(met, 0).otherwise(1).cast("bigint")
     flagged = _join(inner, gone, F.col("up") == F.col("gone"), "left", small=gone.count() <= BROADCAST_ROWS)
-    return flagged.select("id", F.when(met, F.col("id")).otherwise(F.col("up")).alias("up"), jump.alias("jump"), met.alias("met"), *seg), nodes.where("id IS NOT NULL AND at IS NULL").select("id", "up")
+    pointers = flagged.select("id", F.when(met, F.col("id")).otherwise(F.col("up")).alias("up"), F.when(met, 0).otherwise(1).cast("bigint").alias("jump"), met.alias("met"))
+    return store(pointers, "inner"), nodes.where("id IS NOT NULL AND at IS NULL").select("id", "up")
 
 
-def hierarchy(links: DataFrame, node: str = "id", parent: str = "parent", paths: bool = False) -> DataFrame:
-    """One row per node: ``node, root, depth, kind`` and, with ``paths``, ``path`` (array from the root to the node).
+def _climb(step: DataFrame, paths: bool) -> tuple[list[DataFrame], DataFrame, int]:
+    """The nodes that met their root, in parts, those on or above cycles, and how many these are.
 
-    ``links`` has one row per node; other columns are ignored, whatever their names. Rows with a null node are dropped;
-    of repeated nodes the row with the greatest parent counts. A null parent, or one that is no node, makes a root of
-    depth 0. ``kind`` is 'tree', 'cycle' for nodes on a cycle (a node that is its own parent, too) and 'into-cycle' for
-    nodes whose chain ends in one; those have a null root, depth -1 and a null path. An empty table gives no rows.
+    With ``paths``, segments travel along: ``seg`` holds a node's ancestors up to ``up``, the farthest first.
     """
-    pairs = links.select(F.col(node).alias("id"), F.col(parent).alias("up")).dropna(subset=["id"]).groupBy("id").agg(F.max("up").alias("up"))
-    pairs = store(pairs, "links")
-    first, leaves = _inner_nodes(pairs, paths)
-    step = store(first, "inner")
-    discard(pairs)
-
     done, active, far = [step.where("met")], step.where("NOT met"), [step]
     pointers, waiting, reach = step.count(), active.count(), 1
     bound = waiting + 1
@@ -81,6 +71,26 @@ def hierarchy(links: DataFrame, node: str = "id", parent: str = "parent", paths:
         active, far, reach = step.where("NOT met"), [*[f.where("met") for f in far], step], reach * 2
         waiting = active.count()
         bound = min(bound, waiting + reach)
+    return done, active, waiting
+
+
+def hierarchy(links: DataFrame, node: str = "id", parent: str = "parent", paths: bool = False) -> DataFrame:
+    """One row per node: ``node, root, depth, kind`` and, with ``paths``, ``path`` (array from the root to the node).
+
+    ``links`` has one row per node; other columns are ignored, whatever their names. Rows with a null node are dropped;
+    of repeated nodes the row with the greatest parent counts. A null parent, or one that is no node, makes a root of
+    depth 0. ``kind`` is 'tree', 'cycle' for nodes on a cycle (a node that is its own parent, too) and 'into-cycle' for
+    nodes whose chain ends in one; those have a null root, depth -1 and a null path. An empty table gives no rows.
+    """
+    pairs = links.select(F.col(node).alias("id"), F.col(parent).alias("up")).dropna(subset=["id"]).groupBy("id").agg(F.max("up").alias("up"))
+    pairs = store(pairs, "links")
+    inner, leaves = _inner_nodes(pairs)
+    discard(pairs)
+    done, active, waiting = _climb(inner, False)
+    if paths:  # segments of cycles would double for ever: only trees carry them
+        trees = _join(inner, active.select("id"), "id", "left_anti", small=waiting <= BROADCAST_ROWS) if waiting else inner
+        none = F.array().cast(f"array<{inner.schema['up'].dataType.simpleString()}>")
+        done, _, _ = _climb(store(trees.withColumn("seg", F.when(F.col("met"), none).otherwise(F.array("up"))), "trees"), True)
 
     path = [F.concat("seg", F.array("id")).alias("path")] * paths
     known = _union(done).select("id", F.col("up").alias("root"), F.col("jump").cast("int").alias("depth"), F.lit(TREE).alias("kind"), *path)
