@@ -15,8 +15,7 @@ _DEFINE = re.compile(
 )
 _USE = re.compile(r"\\([A-Za-z@]+)(?:\{\})?")
 _COMMENT = re.compile(r"(?<!\\)((?:\\\\)*)%([^\n]*)(?:\n[ \t]*)?")
-_NEST = r"[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}[^{}]*+)*+\}[^{}]*+)*+"
-_ASIDE = re.compile(r"\\(?:footnote|footnotetext|todo|thanks|marginpar)(?![A-Za-z@])(?:\[[^\]\n]*\])?[ \t]*\{(" + _NEST + r")\}")
+_ASIDE = re.compile(r"\\(?:footnote|footnotetext|todo|thanks|marginpar)(?![A-Za-z@])(?:\[[^\]\n]*\])?[ \t]*\{")
 #: Commands whose arguments are keys, names or measures rather than text.
 _KEYED = (
     r"cite[a-zA-Z]*|[a-zA-Z]*ref|label|tag|index|input|include|subfile|includegraphics|bibliography|bibliographystyle|bibitem"
@@ -29,19 +28,38 @@ _LOOKS = re.compile(r"\\(?:emph|text[a-z]+|bf|it|em|rm|sc|sl|tt|sf|bfseries|itsh
 _ACCENT = re.compile(r"\\[\"'`^~=.](?=[A-Za-z{])|\\[\"'`^~=.]\{")
 _COMMAND = re.compile(r"\\(?:[A-Za-z@]+\*?|.)", re.S)
 _WORD = re.compile(r"[^\W_]+")
-MAX_NESTING = 16
+_BRACE = re.compile(r"\\.|[{}]", re.S)
+#: Macros within macros are expanded this deep (each level is another macro, as none is expanded inside itself).
+DEEPEST = 200
 
 
-def _body(text: str, at: int) -> int:
-    """End (exclusive) of the braced group that opens at ``at``; the end of the text if it never closes."""
-    depth, k = 0, at
-    for m in re.compile(r"\\.|[{}]", re.S).finditer(text, at):
+def _closing(text: str, at: int) -> int | None:
+    """End (exclusive) of the braced group that opens at ``at``, None if it never closes."""
+    depth = 0
+    for m in _BRACE.finditer(text, at):
         c = m.group()
         depth += (c == "{") - (c == "}")
-        k = m.end()
         if depth == 0:
-            return k
-    return len(text)
+            return m.end()
+    return None
+
+
+def _body(text: str, at: int) -> int:
+    """As :func:`_closing`, the end of the text for a group that never closes."""
+    end = _closing(text, at)
+    return len(text) if end is None else end
+
+
+def _lifted(text: str, head: re.Pattern, instead: str) -> tuple[str, list[str]]:
+    """Text with ``instead`` in the place of every command that ``head`` matches (up to its brace) and its argument, and the arguments. Groups that never close stay."""
+    out, found, last = [], [], 0
+    for m in head.finditer(text):
+        if m.start() < last or (end := _closing(text, m.end() - 1)) is None:
+            continue
+        out += [text[last : m.start()], instead]
+        found.append(text[m.end() : end - 1])
+        last = end
+    return ("".join(out) + text[last:] if found else text), found
 
 
 def _expand(text: str, macros: dict[str, tuple[int, str | None, str]], depth: int = 0) -> str:
@@ -69,7 +87,7 @@ def _expand(text: str, macros: dict[str, tuple[int, str | None, str]], depth: in
             if len(given) < count:
                 continue
             body = re.sub(r"#(\d)", lambda a, g=given: g[int(a.group(1)) - 1] if 0 < int(a.group(1)) <= len(g) else "", body)
-        if depth < MAX_NESTING and "\\" in body:
+        if depth < DEEPEST and "\\" in body:
             body = _expand(body, {k: v for k, v in macros.items() if k != m.group(1)}, depth + 1)
         out += [text[last : m.start()], body]
         last = end
@@ -121,15 +139,8 @@ def streams(text: str) -> list[list[str]]:
             source = _COMMENT.sub(out, source)
             if aside:
                 todo.append("\n".join(aside))
-        if "\\footnote" in source or "\\todo" in source or "\\thanks" in source or "\\marginpar" in source:
-            notes: list[str] = []
-
-            def note(m: re.Match, notes: list[str] = notes) -> str:
-                notes.append(m.group(1))
-                return ""
-
-            source = _ASIDE.sub(note, source)
-            todo += notes
+        source, notes = _lifted(source, _ASIDE, "")
+        todo += notes
         words = _WORD.findall(_plain(source).lower())
         if words:
             found.append(words)
@@ -142,7 +153,7 @@ _ENVIRONMENT = re.compile(r"\\begin[ \t]*\{(" + _SKIP + r")(\*?)\}.*?(?:\\end[ \
 _OFF = re.compile(r"\\iffalse(?![A-Za-z]).*?(?:\\(?:fi|else)(?![A-Za-z])|\Z)", re.S)
 _DISPLAY = re.compile(r"\\\[.*?(?:\\\]|\Z)|(?<!\\)\$\$.*?(?:\$\$|\Z)|\\\(.*?(?:\\\)|\Z)", re.S)
 _INLINE = re.compile(r"(?<!\\)\$(?:[^$\\]|\\.)*\$", re.S)
-_HEADS = re.compile(r"\\(?:(?:sub)*section|chapter|part|paragraph|title|author|date|caption|affiliation|email|keywords)\*?(?![A-Za-z])(?:\[[^\]\n]*\])?[ \t]*\{" + _NEST + r"\}")
+_HEADS = re.compile(r"\\(?:(?:sub)*section|chapter|part|paragraph|title|author|date|caption|affiliation|email|keywords)\*?(?![A-Za-z])(?:\[[^\]\n]*\])?[ \t]*\{")
 
 
 def prose(text: str) -> str:
@@ -159,6 +170,6 @@ def prose(text: str) -> str:
     source = source[:end] if end >= 0 else source
     source = _ENVIRONMENT.sub("\n\n", source)
     source = _INLINE.sub(" ", _DISPLAY.sub(" ", source))
-    source = _ASIDE.sub("", source)
-    source = _HEADS.sub("\n\n", source)
+    source, _ = _lifted(source, _ASIDE, "")
+    source, _ = _lifted(source, _HEADS, "\n\n")
     return _plain(source)

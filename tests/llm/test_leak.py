@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 
@@ -47,6 +49,14 @@ def test_streams_of_tex():
     assert streams("") == [] and streams("\\def\\a{\\a b} \\a c") == [["b", "c"]]
 
 
+def test_deep_braces_and_macros():
+    deep = "{" * 9 + "far" + "}" * 9
+    assert streams("one \\footnote{note " + deep + " away} two") == [["one", "two"], ["note", "far", "away"]]
+    assert streams("one \\footnote{never closed") == [["one", "never", "closed"]]
+    chain = "".join(f"\\def\\m{chr(97 + k)}{{\\m{chr(98 + k)} w}}" for k in range(24)) + "\\def\\my{end}"
+    assert streams(chain + "\\ma") == [["end"] + ["w"] * 24]
+
+
 WORDS = [f"w{k}" for k in range(400)]
 
 
@@ -98,3 +108,62 @@ def test_dense_edits_against_alignment(spark):
             want.add((d, k))
     out = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, item_text string"))
     assert {(r.doc_id, r.item_id) for r in out.collect()} == want
+
+
+def exhaustive(docs: list[tuple[int, str]], items: list[tuple[int, str]], least: float = 0.5) -> set[tuple[int, int]]:
+    """Pairs by aligning every item with every stream of every document: a plain table over all pairs of words."""
+    out = set()
+    for d, text in docs:
+        for words in streams(text):
+            for k, item in items:
+                own = re.findall(r"[^\W_]+", item.lower())
+                best: dict[tuple[int, int], int] = {}
+                at: dict[str, list[int]] = {}
+                for i, w in enumerate(own):
+                    at.setdefault(w, []).append(i)
+                for j, w in enumerate(words):
+                    for i in at.get(w, ()):
+                        best[i, j] = 1 + max(best.get((i - a, j - b), 0) for a in (1, 2) for b in (1, 2))
+                if own and max(best.values(), default=0) >= max(1, least * len(own)):
+                    out.add((d, k))
+    return out
+
+
+@pytest.mark.parametrize("every", [2, 3, 4])
+def test_edits_at_every_second_to_fourth_word(spark, every):
+    rng = np.random.default_rng(every)
+    items = [(k, [WORDS[j] for j in rng.integers(0, 200, 40)]) for k in range(12)]
+    docs = []
+    for d in range(120):
+        _, words = items[rng.integers(12)]
+        part, how = int(rng.integers(15, 41)), int(rng.integers(3))
+        body: list[str] = []
+        for i, w in enumerate(words[:part]):
+            edit = i % every == every - 1
+            body += [w, WORDS[300]] if edit and how == 1 else [] if edit and how == 2 else [WORDS[int(rng.integers(300, 400))]] if edit else [w]
+        docs.append((d, " ".join([WORDS[j] for j in rng.integers(0, 400, 30)] + body + [WORDS[j] for j in rng.integers(0, 400, 30)])))
+    plain = [(k, " ".join(w)) for k, w in items]
+    want = exhaustive(docs, plain)
+    assert len(want) > 20
+    for shard in (1 << 20, 200):
+        out = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(plain, "item_id long, item_text string"), shard=shard)
+        assert {(r.doc_id, r.item_id) for r in out.collect()} == want
+
+
+def test_items_of_one_to_seven_words(spark):
+    rng = np.random.default_rng(1)
+    items = [(k, " ".join(f"w{j}" for j in rng.integers(0, 30, 1 + k % 7))) for k in range(28)] + [(90, "w1 w1 w1"), (91, "never seen")]
+    docs = [(d, " ".join(f"w{j}" for j in rng.integers(0, 60, rng.integers(1, 25)))) for d in range(80)] + [(500, "w3"), (501, "seen")]
+    want = exhaustive(docs, items)
+    out = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string"), shard=100)
+    assert {(r.doc_id, r.item_id) for r in out.collect()} == want
+
+
+def test_whole_tables_against_exhaustive_alignment(spark):
+    """The smallest tables: every item against every document."""
+    folder = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect() if r.text]
+    newest = {r.item_id: r.item_text for r in spark.read.parquet(f"{folder}/eval_items.parquet").orderBy("added_at").collect() if r.item_text}
+    items = sorted(newest.items())
+    out = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string"))
+    assert {(r.doc_id, r.item_id) for r in out.collect()} == exhaustive(docs, items)
