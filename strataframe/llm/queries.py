@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataframe.llm.cells import current_cells, current_grids, named, with_grid
@@ -71,10 +71,24 @@ def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
     return reservoir_sample(rows, {"all": (None, 1000), "site": ("site_id", 100)}, seed=4)
 
 
+def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """What the samples must keep, by scope and key: the population, the rows drawn, and how many different valid cells these are."""
+    cells = ["raster_id", "band", "row", "col"]
+    drawn = store(p4_sample(spark, folder), "drawn")
+    grids = current_grids(table(spark, folder, "raster_grids"))
+    valid = named(current_cells(table(spark, folder, "raster_pixels"), grids).where("valid"), grids).select(*cells, F.lit(True).alias("known"))
+    marked = drawn.join(F.broadcast(drawn.select(*cells).distinct()).join(valid, cells, "left"), cells, "left")
+    return marked.groupBy("scope", "key").agg(F.max("population").alias("population"), F.count(F.lit(1)).alias("drawn"), F.count_distinct(F.when(F.col("known"), F.struct(*cells))).alias("different"))
+
+
+def _site_limits(spark: SparkSession, folder: str) -> DataFrame:
+    sites = table(spark, folder, "survey_sites").select("site_id", "max_cells", "overlap_cells").dropna(subset=["site_id"])
+    return sites.groupBy("site_id").agg(F.max("max_cells").alias("max_cells"), F.max("overlap_cells").alias("overlap_cells"))
+
+
 def _split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     grids = current_grids(table(spark, folder, "raster_grids"))
-    sites = table(spark, folder, "survey_sites").select("site_id", "max_cells", "overlap_cells").dropna(subset=["site_id"]).groupBy("site_id").agg(F.max("max_cells").alias("max_cells"), F.max("overlap_cells").alias("overlap_cells"))
-    limits = grids.join(sites, "site_id").select("grid", "max_cells", "overlap_cells")
+    limits = grids.join(_site_limits(spark, folder), "site_id").select("grid", "max_cells", "overlap_cells")
     cells = current_cells(table(spark, folder, "raster_pixels"), grids)
     return split_bands(cells.where("stray IS NULL"), limits, raster=["grid"]), grids
 
@@ -94,7 +108,30 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     moved = each.join(grid, "raster_id")
     c = F.col("c") + F.col("a") * F.col("col_from") + F.col("b") * F.col("row_from")
     f = F.col("f") + F.col("d") * F.col("col_from") + F.col("e") * F.col("row_from")
-    return moved.select("raster_id", "band", "piece", "axis", "row_from", "row_to", "col_from", "col_to", "a", "b", c.alias("c"), "d", "e", f.alias("f"))
+    return moved.select("raster_id", "band", "piece", "axis", "row_from", "row_to", "col_from", "col_to", "overlap", "a", "b", c.alias("c"), "d", "e", f.alias("f"))
+
+
+def p5_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """What pieces must keep, by band: cells in no piece, pieces above the site's size, and those that share less with the piece before them than they say."""
+    grids = current_grids(table(spark, folder, "raster_grids"))
+    sites = _site_limits(spark, folder)
+    cells = store(current_cells(table(spark, folder, "raster_pixels"), grids).where("stray IS NULL").select("grid", "band", "row", "col", "valid"), "cells")
+    bands = split_bands(cells, grids.join(sites, "site_id").select("grid", "max_cells", "overlap_cells"), raster=["grid"])
+    pieces = store(bands.select("grid", "band", F.posexplode("pieces").alias("piece", "p")).select("grid", "band", "piece", "p.*"), "pieces")
+    met = cells.join(pieces.groupBy("grid", "band").agg(F.collect_list(F.struct("piece", "row_from", "row_to", "col_from", "col_to")).alias("all")), ["grid", "band"])
+    holders = F.filter("all", lambda p: (F.col("row") >= p["row_from"]) & (F.col("row") < p["row_to"]) & (F.col("col") >= p["col_from"]) & (F.col("col") < p["col_to"]))
+    held = met.select("grid", "band", F.transform(holders, lambda p: p["piece"]).alias("held"))
+    lost = held.groupBy("grid", "band").agg(F.count_if(F.size("held") == 0).alias("uncovered"))
+    sizes = held.select("grid", "band", F.explode("held").alias("piece")).groupBy("grid", "band", "piece").agg(F.count(F.lit(1)).alias("cells"))
+    limit = grids.join(sites, "site_id").select("grid", "max_cells")
+    large = sizes.join(limit, "grid").groupBy("grid", "band").agg(F.count_if(F.col("cells") > F.col("max_cells")).alias("oversized"))
+    cut = [F.when(F.col("axis") == "col", F.col(f"col_{end}")).otherwise(F.col(f"row_{end}")).alias(end) for end in ("from", "to")]
+    strip = F.when(F.col("axis") == "grid", F.col("col_from")).alias("strip")
+    line = Window.partitionBy("grid", "band", "strip")
+    behind = (F.lag("to").over(line.orderBy("piece")) - F.col("from") < F.col("overlap")) & (F.col("from") > F.min("from").over(line))
+    shared = pieces.select("grid", "band", "piece", "overlap", strip, *cut).withColumn("behind", behind).groupBy("grid", "band").agg(F.count_if("behind").alias("short"))
+    joined = lost.join(large, ["grid", "band"]).join(shared, ["grid", "band"])
+    return named(joined.withColumn("stray", F.lit(None).cast("string")), grids).select("raster_id", "band", "uncovered", "oversized", "short")
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,6 +168,16 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[1]
 
 
+def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """What the mixture must keep, by source: no record above its cap, and a size within one record of the target or of all copies allowed."""
+    chosen, report = _mix(spark, folder)
+    most = chosen.groupBy("source").agg(F.max("copies").alias("most_copies"), F.max("size").alias("largest"))
+    joined = report.join(most, "source", "left")
+    limit = F.least(F.col("target_size"), F.coalesce(F.col("available") * F.col("max_repeats"), F.lit(0)))
+    near = F.abs(F.col("reached_size") - limit) <= F.coalesce("largest", F.lit(0))
+    return joined.select("source", "target_share", "max_repeats", "records", (F.coalesce("most_copies", F.lit(0)) <= F.coalesce("max_repeats", F.lit(0))).alias("cap_kept"), near.alias("target_met"))
+
+
 def _reading(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     stats = store(reading_stats(table(spark, folder, "documents").select("doc_id", "text")), "reading")
     grades = latest(table(spark, folder, "doc_grades").select("doc_id", "rater", "grade", "rated_at"), ["doc_id", "rater"], "rated_at")
@@ -156,8 +203,8 @@ def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_percentiles": p1_percentiles, "p4_sample": p4_sample, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_spans": p6_spans,
-    "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_documents": p8_documents, "p8_sources": p8_sources,
+    "p1_percentiles": p1_percentiles, "p4_sample": p4_sample, "p4_counts": p4_counts, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_coverage": p5_coverage, "p6_found": p6_found, "p6_spans": p6_spans,
+    "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_kept": p7_kept, "p8_found": p8_found, "p8_documents": p8_documents, "p8_sources": p8_sources,
 }
 
 _CELLS = """
@@ -168,7 +215,17 @@ current AS (SELECT c.*, g.site_id, g.nodata, value IS NOT NULL AND NOT isnan(val
 _STEP = "(CASE WHEN abs({0} / 0.125::DOUBLE) < 4503599627370496::DOUBLE THEN floor({0} / 0.125::DOUBLE + 0.5::DOUBLE) ELSE {0} / 0.125::DOUBLE END * 0.125::DOUBLE + 0.0::DOUBLE)"
 _PERMILLE = (50, 250, 500, 750, 950)
 
+_LARGE = "size AS (SELECT raster_id, band FROM current JOIN survey_sites USING (site_id) GROUP BY raster_id, band HAVING count(*) > max(max_cells))"
+
 ORACLES = {
+    "p4_counts": f"""WITH {_CELLS}, v AS (SELECT 'all' AS scope, NULL AS key, 1000 AS asked FROM current WHERE valid UNION ALL SELECT 'site', site_id, 100 FROM current WHERE valid)
+SELECT scope, key, count(*) AS population, least(count(*), max(asked)) AS drawn, least(count(*), max(asked)) AS different FROM v GROUP BY scope, key""",
+    "p5_coverage": f"WITH {_CELLS}, {_LARGE} SELECT raster_id, band, 0::BIGINT AS uncovered, 0::BIGINT AS oversized, 0::BIGINT AS short FROM size",
+    "p7_kept": """WITH named AS (SELECT nullif(regexp_replace(lower(trim(source)), '[_\\s]+', '-', 'g'), '') AS source, text FROM documents),
+have AS (SELECT source, count(*) AS records FROM named WHERE source IS NOT NULL AND length(text) > 0 GROUP BY source),
+spelled AS (SELECT nullif(regexp_replace(lower(trim(source)), '[_\\s]+', '-', 'g'), '') AS source, target_share, max_repeats, updated_at FROM source_targets),
+asked AS (SELECT * FROM spelled WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY updated_at DESC, target_share DESC NULLS LAST, max_repeats DESC NULLS LAST) = 1)
+SELECT source, target_share, max_repeats, coalesce(records, 0) AS records, true AS cap_kept, true AS target_met FROM have FULL JOIN asked USING (source)""",
     "p1_percentiles": f"""WITH {_CELLS},
 z_now AS (SELECT point_id, site_id, cloud_id, z, loaded_at FROM pointcloud_points QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY loaded_at DESC, site_id DESC NULLS LAST, cloud_id DESC NULLS LAST, z DESC NULLS LAST) = 1),
 v AS (SELECT 'value' AS measure, 'raster' AS piece, site_id, raster_id AS part, strftime(loaded_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, {_STEP.format("value")} AS value FROM current WHERE valid

@@ -9,6 +9,7 @@ distribution is drawn by numbering all rows and drawing the sample's numbers, as
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from collections.abc import Iterator, Sequence
@@ -73,7 +74,7 @@ def _fill(sizes: dict[str, int], seed: int, width: int):
                     rows = order[(ends[j - 1] if j else 0) : ends[j]]
                     name = (scope, key)
                     if name not in held:
-                        mark = int.from_bytes(f"{scope}\0{key}".encode()[-16:], "big")
+                        mark = int.from_bytes(hashlib.blake2b(f"{scope}\0{key}\0{key is None}".encode(), digest_size=16).digest(), "big")
                         held[name] = (Reservoir(size, np.random.default_rng([seed, part, mark])), {})
                     reservoir, slots = held[name]
                     entered = dict(reservoir.offer(len(rows)))

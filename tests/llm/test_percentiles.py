@@ -39,3 +39,22 @@ def test_hot_value_and_empty(spark):
     r = percentiles(value_counts(df.withColumnRenamed("n", "k"), ["k"], "value"), ["k"]).first()
     assert (r.n, r.p050, r.p950) == (3000, 7.0, 7.0)
     assert percentiles(value_counts(df.limit(0).withColumnRenamed("n", "k"), ["k"], "value"), ["k"]).count() == 0
+
+
+def test_relative_steps(spark):
+    rng = np.random.default_rng(2)
+    values = [float(v) for v in np.r_[rng.lognormal(-6, 6, 3000), -rng.lognormal(2, 3, 500), 0.0, 5e-324, 1e308, -0.05, 0.07]]
+    df = spark.createDataFrame([("g", v) for v in values], "g string, value double")
+    counts = value_counts(df, ["g"], "value", 0.01, relative=True)
+    assert counts.count() < 2600
+    row = percentiles(counts, ["g"], (0, 30, 500, 900, 1000), 0.01, relative=True).first()
+    for p in (0, 30, 500, 900, 1000):
+        want = exact(values, p)
+        assert abs(row[f"p{p:03d}"] - want) <= 0.01 * abs(want) + 1e-300
+
+
+def test_one_group_of_as_many_ranges_as_rows(spark):
+    df = spark.range(20_000).select(F.lit("g").alias("g"), (F.col("id") * 5e4 + 7).alias("value"))
+    out = percentiles(value_counts(df, ["g"], "value"), ["g"])
+    row = out.first()
+    assert (row.n, row.p050, row.p500, row.p950) == (20_000, 999 * 5e4 + 7, 9_999 * 5e4 + 7, 18_999 * 5e4 + 7)

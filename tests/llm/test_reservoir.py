@@ -50,3 +50,11 @@ def test_groups_nulls_small_groups_clashes_and_empty(spark):
     counts = Counter((r.scope, r.key, r.population) for r in out.collect())
     assert counts == {("all", None, 53): 5, ("by", "a", 50): 10, ("by", None, 3): 3}
     assert reservoir_sample(df.limit(0), {"all": (None, 5)}).count() == 0
+
+
+def test_keys_with_one_ending_draw_differently(spark):
+    names = ["alpha-northern-highland-site", "omega-northern-highland-site"]
+    df = spark.range(0, 4000, 1, 1).select((F.col("id") % 2000).alias("id"), F.when(F.col("id") < 2000, names[0]).otherwise(names[1]).alias("g"))
+    out = reservoir_sample(df, {"by": ("g", 50)}, 3).collect()
+    drawn = [{r.id for r in out if r.key == n} for n in names]
+    assert len(drawn[0]) == len(drawn[1]) == 50 and len(drawn[0] & drawn[1]) < 20
