@@ -61,6 +61,11 @@ def _plain(df: DataFrame, keys: Sequence[str]) -> tuple[list[Column], list[str],
     """Keys without nulls for joins: their columns, the columns' names, and the expressions that bring the keys back."""
     columns, names, back = [], [], []
     for k, key in enumerate(keys):
+        if not df.schema[key].nullable:
+            columns.append(F.col(key).alias(f"_k{k}"))
+            names.append(f"_k{k}")
+            back.append(F.col(f"_k{k}").alias(key))
+            continue
         kind = df.schema[key].dataType.simpleString()
         empty = F.lit("").cast(kind) if kind in ("string", "binary") else F.lit(0).cast("timestamp").cast(kind) if kind.startswith(("date", "timestamp")) else F.lit(False) if kind == "boolean" else F.lit(0).cast(kind)
         columns += [F.coalesce(F.col(key), empty).alias(f"_k{k}"), F.col(key).isNull().alias(f"_n{k}")]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataframe.llm.cells import current_cells, current_grids, named, with_grid
 from strataframe.llm.leak import leaks, removal_spans
 from strataframe.llm.mix import mix, source_name, token_counts
-from strataframe.llm.percentiles import combined, percentiles, value_counts
+from strataframe.llm.percentiles import percentiles, value_counts
 from strataframe.llm.readability import reading_stats, with_bands
 from strataframe.llm.reservoir import reservoir_sample
 from strataframe.llm.split import split_bands
@@ -39,16 +39,28 @@ def point_states(points: DataFrame) -> DataFrame:
     return value_counts(now.select("site_id", "cloud_id", _day(F.unix_micros("loaded_at")).alias("day"), "z"), ["site_id", "cloud_id", "day"], "z")
 
 
-def _wide(states: DataFrame) -> DataFrame:
-    """States of sites, of days and of all, from those of pieces; ``scope`` is the grouping set's number (2, 4 and 6)."""
-    sets = [[F.col("site_id"), F.col("value")], [F.col("day"), F.col("value")], [F.col("value")]]
-    return store(states.groupingSets(sets, "site_id", "day", "value").agg(F.sum("n").alias("n"), F.grouping_id().cast("int").alias("scope")), "wide")
+#: Measure and scope of each numbered kind of group.
+SCOPES = tuple((measure, scope) for measure, piece in (("value", "raster"), ("z", "cloud")) for scope in (piece, "site", "day", "all"))
+#: Stands for a null day among numbered ones.
+NO_DAY = -(2**40)
+
+
+def _groups(scope: Column, number: Column, text: Column, states: DataFrame) -> DataFrame:
+    """States under keys without nulls: the kind of group, a number and a text."""
+    return states.select(scope.cast("int").alias("scope"), F.coalesce(number.cast("bigint"), F.lit(NO_DAY)).alias("number"), F.coalesce(text, F.lit("")).alias("text"), "value", "n")
 
 
-def _wide_percentiles(states: DataFrame) -> DataFrame:
-    found = percentiles(_wide(states), ["scope", "site_id", "day"])
-    names = F.when(F.col("scope") == 2, "site").when(F.col("scope") == 4, "day").otherwise("all")
-    return found.withColumn("key", F.coalesce("site_id", F.col("day").cast("string"))).withColumn("scope", names)
+def _named_groups(states: DataFrame, column: str, scope: int) -> DataFrame:
+    return _groups(F.lit(scope), F.col(column).isNull(), F.col(column), states)
+
+
+def _wide(states: DataFrame, first: int) -> DataFrame:
+    """States of sites, of days and of all (kinds ``first``, ``first + 1`` and ``first + 2``), from those of pieces."""
+    sets = [[F.col("site_id"), F.col("value")], [F.col("day"), F.col("value")], [F.col("value")]]
+    summed = states.groupingSets(sets, "site_id", "day", "value").agg(F.sum("n").alias("n"), F.grouping_id().cast("int").alias("set"))
+    site, day = F.col("set") == 2, F.col("set") == 4
+    number = F.when(site, F.col("site_id").isNull().cast("bigint")).when(day, F.unix_date("day").cast("bigint")).otherwise(F.lit(0))
+    return store(_groups(first + F.when(site, 0).when(day, 1).otherwise(2), number, F.when(site, F.col("site_id")), summed), "wide")
 
 
 def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,11 +68,13 @@ def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     grids = current_grids(table(spark, folder, "raster_grids"))
     cells = store(raster_states(table(spark, folder, "raster_pixels"), grids), "states")
     z = store(point_states(table(spark, folder, "pointcloud_points")), "states")
-    rasters = named(percentiles(cells, ["grid", "stray"]), grids).withColumnRenamed("raster_id", "key").withColumn("scope", F.lit("raster"))
-    clouds = percentiles(z, ["cloud_id"]).withColumnRenamed("cloud_id", "key").withColumn("scope", F.lit("cloud"))
-    parts = [("value", rasters), ("z", clouds), ("value", _wide_percentiles(with_grid(cells, grids, "grid", ("site_id",)))), ("z", _wide_percentiles(z))]
-    results = [p.select(F.lit(measure).alias("measure"), "scope", "key", "n", *[c for c in p.columns if c[0] == "p" and c[1:].isdigit()]) for measure, p in parts]
-    return reduce(DataFrame.unionAll, results)
+    parts = [_groups(F.lit(0), F.col("grid"), F.col("stray"), cells), _wide(with_grid(cells, grids, "grid", ("site_id",)), 1), _named_groups(z, "cloud_id", 4), _wide(z, 5)]
+    coded = [_groups(F.col("scope"), F.col("number"), F.col("text"), p) for p in parts]
+    found = percentiles(reduce(DataFrame.unionAll, coded), ["scope", "number", "text"]).withColumn("grid", F.when(F.col("scope") == 0, F.col("number")))
+    names = [F.element_at(F.array(*[F.lit(s[k]) for s in SCOPES]), F.col("scope") + 1).alias(c) for k, c in enumerate(("measure", "scope"))]
+    of_day = F.when(F.col("number") != NO_DAY, F.date_from_unix_date(F.col("number").cast("int")).cast("string"))
+    key = F.when(F.col("scope") == 0, F.coalesce("raster_id", "text")).when(F.col("scope").isin(1, 4, 5), F.when(F.col("number") == 0, F.col("text"))).when(F.col("scope").isin(2, 6), of_day)
+    return with_grid(found, grids, "grid", ("raster_id",)).select(*names, key.alias("key"), "n", *[c for c in found.columns if c[0] == "p" and c[1:].isdigit()])
 
 
 def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
