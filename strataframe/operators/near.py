@@ -23,6 +23,8 @@ from strataframe.functions.vptree import radius_pairs
 from strataframe.plans.workspace import store
 
 QUERY, DATA, REGION, HOME = 1, 2, 4, 8
+#: Points that a cell may hold before its size makes blocks of it (some 60 bytes of memory each).
+MOST_IN_CELL = 1 << 20
 PLACED = "cell int, block int, role int, id bigint, x double, y double, reach double, rings binary"
 PAIRS = "relation string, id_a bigint, id_b bigint"
 
@@ -91,7 +93,8 @@ def choose_pivots(x: np.ndarray, y: np.ndarray, total: int, per_cell: int, most:
                 more.append(inside[rng.permutation(len(inside))[: int(share[c] * total / per_cell)]])
         if not more or len(chosen) >= most:
             break
-        chosen = np.unique(np.concatenate([chosen, *more]), axis=0)[: max(most, len(chosen))]
+        extra = np.concatenate(more)
+        chosen = np.unique(np.concatenate([chosen, extra[rng.permutation(len(extra))[: most - len(chosen)]]]), axis=0)
     if len(share) != len(chosen):
         cells = Pivots(chosen[:, 0], chosen[:, 1], np.ones(len(chosen), "int64"), metric).place(x, y, np.zeros(len(x)))
         share = np.bincount(cells[1][cells[2]], minlength=len(chosen)) / max(1, len(x))
@@ -213,7 +216,7 @@ def _join_cells(radius: float, metric: str):
 
 def near_pairs(
     points: DataFrame, radius: float, regions: DataFrame | None = None, *, metric: str = "plane", per_cell: int = 8192,
-    sample_rows: int = 50_000, most_pivots: int = 4096, seed: int = 0,
+    most_pivots: int = 1 << 17, seed: int = 0,
 ) -> DataFrame:
     """All pairs of points at most ``radius`` apart and, with ``regions``, all (region, point) pairs where it holds the point.
 
@@ -224,15 +227,18 @@ def near_pairs(
     same id would: never with each other). Rings may be open or closed and turn either way; null, empty or degenerate
     parts hold nothing. Empty tables give no rows. ``metric`` is 'plane' or 'great_circle' (x, y in degrees, metres).
 
-    Pivots come from a sample of at most about ``sample_rows`` points; their number follows the number of points up to
-    ``most_pivots``. Only they are sent to all tasks. Points and pairs are streamed by cell.
+    There is a pivot for every ``per_cell`` points. Beyond ``most_pivots`` of them, which are sent to all tasks, cells grow
+    instead, as their trees take any number of points, up to ``MOST_IN_CELL``; only then are cells cut into blocks for
+    their size. Pivots come from a sample of eight points for each, at least 50,000. Points and pairs are streamed by cell.
     """
     spark = points.sparkSession
     placed = points.select(F.col("id").cast("bigint").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     placed = placed.where("id IS NOT NULL AND abs(x) < double('Infinity') AND abs(y) < double('Infinity')")
     placed = store(placed, "points")
     total = placed.count()
-    drawn = placed.select("x", "y").sample(min(1.0, sample_rows / max(1, total)), seed=seed).limit(2 * sample_rows).toPandas()
+    per_cell = max(per_cell, min(MOST_IN_CELL, -(-total // most_pivots)))
+    rows = max(50_000, 8 * min(most_pivots, total // per_cell))
+    drawn = placed.select("x", "y").sample(min(1.0, rows / max(1, total)), seed=seed).limit(2 * rows).toPandas()
     pivots = choose_pivots(drawn.x.to_numpy(), drawn.y.to_numpy(), total, per_cell, most_pivots, metric, seed)
     sent = placed.mapInArrow(_send_points(pivots, float(radius)), PLACED)
     if regions is not None:

@@ -64,3 +64,11 @@ def test_shape_bytes_round_trip():
     again = decode_rings(encode_rings(shape))
     assert [[r.tolist() for r in p] for p in again] == [[r.tolist() for r in p] for p in shape]
     assert points_inside(np.array([3.0, 9.9, 1.9]), np.array([1.0, 9.1, 0.6]), again).tolist() == [True, True, False]
+
+
+def test_pivots_are_refined_on_both_sides():
+    rng = np.random.default_rng(8)
+    x = np.r_[rng.uniform(-1000, 1000, 200), rng.normal(-900, 0.5, 4000), rng.normal(900, 0.5, 4000)]
+    pivots = choose_pivots(x, rng.normal(0, 0.5, len(x)), len(x), 100, 60, "plane")
+    left, right = (pivots.x < -890).sum(), (pivots.x > 890).sum()
+    assert len(pivots.x) == 60 and left > 15 and right > 15
