@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from strataframe.functions import overlay
 from strataframe.functions.geometry import GEOMETRY
 from strataframe.functions.shapes import Shape, points_inside
 
@@ -18,15 +19,29 @@ _VERTEX = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 ARROW_GEOMETRY = pa.struct([("type", pa.string()), ("parts", pa.list_(pa.list_(pa.list_(_VERTEX))))])
 
 
-def shape_of(value: dict | None) -> Shape:
+class Value:
+    """A geometry in a Python rule: its type, and its shape as arrays."""
+
+    __slots__ = ("kind", "shape")
+
+    def __init__(self, kind: str | None, shape: Shape):
+        self.kind, self.shape = kind, shape
+
+    def __getitem__(self, name: str):
+        return self.kind if name == "type" else [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in part] for part in self.shape]
+
+
+def shape_of(value: Value | dict | None) -> Shape:
     """Arrays of a geometry value; null and empty give an empty shape."""
+    if isinstance(value, Value):
+        return value.shape
     if not value or not value["parts"]:
         return []
     return [[np.array([(v["x"], v["y"]) for v in ring], dtype="float64").reshape(-1, 2) for ring in part or [] if ring] for part in value["parts"] if part]
 
 
-def value_of(kind: str, shape: Shape) -> dict:
-    return {"type": kind, "parts": [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in part] for part in shape]}
+def value_of(kind: str, shape: Shape) -> Value:
+    return Value(kind, [[np.asarray(ring, dtype="float64").reshape(-1, 2) for ring in part] for part in shape])
 
 
 def all_points(shape: Shape) -> np.ndarray:
@@ -34,14 +49,57 @@ def all_points(shape: Shape) -> np.ndarray:
     return np.concatenate(rings) if rings else np.empty((0, 2))
 
 
-def _udf(rule: Callable, kind: str, arrow: pa.DataType):
-    """Column function of a rule on geometry values and plain numbers; a null argument gives null."""
+def decode(column: pa.Array) -> list[Value | None]:
+    """Geometries of an Arrow column, cut out of its flat coordinates; empty rings and parts are left out."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    kinds, lists = column.field(0).to_pylist(), column.field(1)
+    rings = lists.values
+    vertices = rings.values
+    spots = vertices.values
+    per_row, per_part, per_ring = (np.asarray(x.offsets) for x in (lists, rings, vertices))
+    xy = np.stack([np.asarray(spots.field(k).to_numpy(zero_copy_only=False), dtype="float64") for k in (0, 1)], axis=1)
+    out: list[Value | None] = []
+    for k, (kind, known, held) in enumerate(zip(kinds, column.is_valid().to_pylist(), lists.is_valid().to_pylist(), strict=True)):
+        if not known:
+            out.append(None)
+            continue
+        shape = [[xy[per_ring[r] : per_ring[r + 1]] for r in range(per_part[p], per_part[p + 1]) if per_ring[r + 1] > per_ring[r]] for p in range(per_row[k], per_row[k + 1])] if held else []
+        out.append(Value(kind, [p for p in shape if p]))
+    return out
+
+
+def encode(values: list) -> pa.Array:
+    """The Arrow column of geometries."""
+    plain = [v if isinstance(v, Value) or v is None else Value(v["type"], shape_of(v)) for v in values]
+    parts = [p for v in plain if v for p in v.shape]
+    rings = [r for p in parts for r in p]
+    xy = np.concatenate(rings) if rings else np.empty((0, 2))
+    ends = lambda sizes: pa.array(np.r_[0, np.cumsum(np.array(list(sizes), dtype="int64"))].astype("int32"))
+    spots = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, 0])), pa.array(np.ascontiguousarray(xy[:, 1]))], fields=list(_VERTEX))
+    nested = pa.ListArray.from_arrays(ends(len(v.shape) if v else 0 for v in plain), pa.ListArray.from_arrays(ends(map(len, parts)), pa.ListArray.from_arrays(ends(map(len, rings)), spots)))
+    kinds = pa.array([v.kind if v else None for v in plain], pa.string())
+    made = pa.StructArray.from_arrays([kinds, nested.cast(ARROW_GEOMETRY.field(1).type)], fields=list(ARROW_GEOMETRY), mask=pa.array([v is None for v in plain]))
+    return made
+
+
+def boxes_meet(a: Value, b: Value) -> bool:
+    p, q = all_points(a.shape), all_points(b.shape)
+    return bool(len(p) and len(q) and (p.min(axis=0) <= q.max(axis=0)).all() and (q.min(axis=0) <= p.max(axis=0)).all())
+
+
+def _udf(rule: Callable, kind: str, arrow: pa.DataType, apart: bool | None = None):
+    """Column function of a rule on geometry values and plain numbers; a null argument gives null.
+
+    ``apart`` is the answer for two geometries whose boxes don't meet, for which the rule isn't asked.
+    """
 
     @lru_cache(maxsize=1)
     def made():  # types are read by a session, so not before there is one
         def run(*columns: pa.Array) -> pa.Array:
-            rows = zip(*[c.to_pylist() for c in columns], strict=True)
-            return pa.array([None if any(v is None for v in row) else rule(*row) for row in rows], arrow)
+            rows = zip(*[decode(c) if pa.types.is_struct(c.type) else c.to_pylist() for c in columns], strict=True)
+            answer = lambda row: None if any(v is None for v in row) else apart if apart is not None and not boxes_meet(*row[:2]) else rule(*row)
+            found = [answer(row) for row in rows]
+            return encode(found) if arrow == ARROW_GEOMETRY else pa.array(found, arrow)
 
         return F.arrow_udf(run, kind)
 
@@ -56,8 +114,8 @@ def _number(rule: Callable):
     return _udf(rule, "double", pa.float64())
 
 
-def _flag(rule: Callable):
-    return _udf(rule, "boolean", pa.bool_())
+def _flag(rule: Callable, apart: bool | None = None):
+    return _udf(rule, "boolean", pa.bool_(), apart)
 
 
 # --- hulls and circles
@@ -236,7 +294,7 @@ def segments_meet(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return proper | ((o1 == 0) & on(ax, ay, bx, by, cx, cy)) | ((o2 == 0) & on(ax, ay, bx, by, dx, dy)) | ((o3 == 0) & on(cx, cy, dx, dy, ax, ay)) | ((o4 == 0) & on(cx, cy, dx, dy, bx, by))
 
 
-def _area(value: dict) -> bool:
+def _area(value: Value) -> bool:
     return "polygon" in (value["type"] or "").lower()
 
 
@@ -377,7 +435,7 @@ def invalid_reason(value: dict) -> str:
             if meet.any():
                 return "Self-intersection"
         for hole in part[1:]:
-            if not covers({"type": "Polygon", "parts": value_of("Polygon", [[part[0]]])["parts"]}, value_of("Polygon", [[hole]])):
+            if not covers(value_of("Polygon", [[part[0]]]), value_of("Polygon", [[hole]])):
                 return "Hole lies outside shell"
     return "Valid Geometry"
 
@@ -567,12 +625,12 @@ interpolate = _geometry(lambda g, d: value_of("Point", [[along(all_points(shape_
 project = _number(lambda g, x, y: project_point(all_points(shape_of(g)), x, y))
 representative_point = _geometry(lambda g: value_of("Point", [[representative(shape_of(g))[None, :]]] if len(all_points(shape_of(g))) else []))
 normalize = _geometry(normalized)
-st_intersects, st_contains, st_touches, st_overlaps, st_crosses = (_flag(f) for f in (intersects, contains, touches, overlaps, crosses))
-st_disjoint = _flag(lambda a, b: not intersects(a, b))
-st_covers = _flag(covers)
-st_covered_by = _flag(lambda a, b: covers(b, a))
-st_within = _flag(lambda a, b: contains(b, a))
-st_contains_properly = _flag(lambda a, b: covers(a, b, True))
+st_intersects, st_contains, st_touches, st_overlaps, st_crosses = (_flag(f, False) for f in (intersects, contains, touches, overlaps, crosses))
+st_disjoint = _flag(lambda a, b: not intersects(a, b), True)
+st_covers = _flag(covers, False)
+st_covered_by = _flag(lambda a, b: covers(b, a), False)
+st_within = _flag(lambda a, b: contains(b, a), False)
+st_contains_properly = _flag(lambda a, b: covers(a, b, True), False)
 st_distance = _number(distance)
 st_dwithin = _flag(lambda a, b, d: distance(a, b) <= d)
 st_is_simple = _flag(is_simple)
@@ -593,3 +651,77 @@ def hilbert_distance(bounds: tuple[float, float, float, float], level: int = 16)
         return pa.array(hilbert(x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False), bounds, level))
 
     return run
+
+
+# --- overlay
+
+
+def polygonal(shape: Shape) -> Value:
+    return Value("Polygon" if len(shape) == 1 else "MultiPolygon", shape)
+
+
+def lineal(lines: list[np.ndarray]) -> Value:
+    return Value("LineString" if len(lines) == 1 else "MultiLineString", [[line] for line in lines])
+
+
+def _lines(value: Value) -> bool:
+    return "line" in (value.kind or "").lower()
+
+
+def _clipped(a: Value, b: Value, inside: bool) -> Value:
+    """The part of a line or of points inside (or outside) polygons."""
+    if _lines(a):
+        return lineal([s for p in a.shape for line in p for s in overlay.line_inside(line, b.shape, inside)])
+    v = all_points(a.shape)
+    kept = v[points_inside(v[:, 0], v[:, 1], b.shape) == inside]
+    return Value("Point" if len(kept) == 1 else "MultiPoint", [[p[None, :]] for p in kept])
+
+
+def _overlaid(rule: Callable[..., Shape]) -> Callable[[Value, Value], Value]:
+    def made(a: Value, b: Value) -> Value:
+        if _area(a) and _area(b):
+            return polygonal(rule(a.shape, b.shape))
+        if rule is overlay.intersection and (_area(a) or _area(b)):
+            return _clipped(b, a, True) if _area(a) else _clipped(a, b, True)
+        if rule is overlay.difference and _area(b):
+            return _clipped(a, b, False)
+        raise ValueError(f"{rule.__name__} of {a.kind} and {b.kind}")
+
+    return made
+
+
+def _located(value: Value) -> tuple[Shape, str]:
+    return value.shape, value.kind or ""
+
+
+def _rounded(value: Value, distance: float, quad_segs: int = 16) -> Value:
+    return polygonal(overlay.buffer(value.shape, distance, _area(value), int(quad_segs)))
+
+
+def _circle(value: Value, quad_segs: int = 16) -> Value:
+    x, y, r = bounding_circle(all_points(value.shape))
+    return polygonal([[overlay.capsule(np.array([x, y]), np.array([x, y]), r, quad_segs)]] if r == r else [])
+
+
+def _paths(value: tuple) -> Value:
+    along_, against = value
+    return lineal([*along_, *against])
+
+
+st_union, st_intersection, st_difference, st_symmetric_difference = (_geometry(_overlaid(f)) for f in (overlay.union, overlay.intersection, overlay.difference, overlay.symmetric_difference))
+st_make_valid = _geometry(lambda g: polygonal(overlay.repaired(g.shape)) if _area(g) else g)
+st_buffer = _geometry(_rounded)
+st_relate = _udf(lambda a, b: overlay.relate(*_located(a), *_located(b)), "string", pa.string())
+st_relate_pattern = _flag(lambda a, b, pattern: overlay.matches(overlay.relate(*_located(a), *_located(b)), pattern))
+st_equals = _flag(lambda a, b: overlay.matches(overlay.relate(*_located(a), *_located(b)), "T*F**FFF*"), False)
+st_is_ring = _flag(lambda g: bool(g.shape) and len(g.shape) == 1 and len(g.shape[0]) == 1 and not _area(g) and len(g.shape[0][0]) > 3 and (g.shape[0][0][0] == g.shape[0][0][-1]).all() and is_simple(g))
+st_snap = _geometry(lambda a, b, tolerance: Value(a.kind, [[overlay.snapped(r, all_points(b.shape), tolerance) for r in p] for p in a.shape]))
+st_shared_paths = _geometry(lambda a, b: _paths(overlay.shared_paths(a.shape, b.shape, (_area(a), _area(b)))))
+st_shortest_line = _geometry(lambda a, b: lineal([n] if len(n := overlay.nearest_places(a.shape, _area(a), b.shape, _area(b))) else []))
+st_minimum_clearance = _number(lambda g: overlay.minimum_clearance(g.shape, _area(g)))
+st_minimum_bounding_circle = _geometry(_circle)
+st_concave_hull = _geometry(lambda g, ratio: polygonal([[overlay.concave_hull(v, delaunay(v), ratio)]] if len(v := np.unique(all_points(g.shape), axis=0)) > 2 else []))
+st_offset_curve = _geometry(lambda g, distance: lineal([overlay.offset_line(r, distance) for p in g.shape for r in p if len(r) > 1]))
+st_line_merge = _geometry(lambda g: lineal(overlay.merged_lines([r for p in g.shape for r in p])))
+st_polygonize = _geometry(lambda g: polygonal(overlay.faces(g.shape)))
+st_build_area = _geometry(lambda g: polygonal(overlay.enclosed(g.shape)))
