@@ -39,6 +39,11 @@ def metric_epsg(lat: Column, lon: Column) -> Column:
     return F.when(lat > 80, 32661).when(lat < -80, 32761).otherwise(utm_epsg(utm_zone(lat, lon)))
 
 
+def metric_like(code: int) -> bool:
+    """Whether a reference system is a UTM or polar stereographic one."""
+    return _utm(code) is not None or code in (32661, 32761)
+
+
 def _utm(code: int) -> tuple[float, float] | None:
     """(central meridian in radians, false northing)."""
     for base, north in ((32600, 0.0), (32700, FALSE_NORTH)):

@@ -109,9 +109,9 @@ class PointCloud:
         marked = self.df.join(held, "point_id", "left").withColumn(self.data, F.when(F.col("_m"), F.lit(value).cast("double")).otherwise(F.col(self.data)))
         return replace(self, df=marked.select(*self.df.columns))
 
-    def create_mask(self, features: DataFrame, bucket: float = 64.0) -> PointCloud:
+    def create_mask(self, features: DataFrame) -> PointCloud:
         """True for points that a feature holds."""
-        held = sjoin_points(self.df.select("point_id", "x", "y"), features, "semi", bucket).select("point_id", F.lit(True).alias("_in"))
+        held = sjoin_points(self.df.select("point_id", "x", "y"), features, "semi").select("point_id", F.lit(True).alias("_in"))
         mask = self.df.join(held, "point_id", "left").select("point_id", "x", "y", F.coalesce("_in", F.lit(False)).alias("mask"))
         return PointCloud(mask, "mask", self.crs)
 
