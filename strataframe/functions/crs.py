@@ -6,7 +6,9 @@ UTM by the Krueger series to the third order in n, which is exact to well below
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,7 +54,8 @@ def _utm(code: int) -> tuple[float, float] | None:
     return None
 
 
-def _from_geographic(lon: Column, lat: Column, code: int) -> tuple[Column, Column]:
+def _from_geographic(lon, lat, code: int, F=F):
+    """``F`` is the library of functions: of columns, or :class:`Numbers`."""
     x, y = F.radians(lon), F.radians(lat)
     if code == 3857:
         return A * x, A * F.log(F.tan(math.pi / 4 + y / 2))
@@ -74,7 +77,7 @@ def _from_geographic(lon: Column, lat: Column, code: int) -> tuple[Column, Colum
     raise NotImplementedError(f"EPSG:{code}")
 
 
-def _to_geographic(x: Column, y: Column, code: int) -> tuple[Column, Column]:
+def _to_geographic(x, y, code: int, F=F):
     if code == 3857:
         return F.degrees(x / A), F.degrees(2 * F.atan(F.exp(y / A)) - math.pi / 2)
     utm = _utm(code)
@@ -97,9 +100,69 @@ def _to_geographic(x: Column, y: Column, code: int) -> tuple[Column, Column]:
     raise NotImplementedError(f"EPSG:{code}")
 
 
+class Numbers:
+    """The functions of projections on numbers and arrays."""
+
+    radians, degrees, sin, cos, tan, sinh, cosh, sqrt, exp, log, hypot, pow = (staticmethod(getattr(np, n)) for n in ("radians", "degrees", "sin", "cos", "tan", "sinh", "cosh", "sqrt", "exp", "log", "hypot", "power"))
+    atan, atan2, atanh, asin = (staticmethod(getattr(np, n)) for n in ("arctan", "arctan2", "arctanh", "arcsin"))
+    lit = staticmethod(lambda v: v)
+
+
 def transform_xy(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
     """Coordinates (x before y, longitude before latitude) in another reference system; 4326, 3857, 326zz, 327zz, 32661, 32761."""
+    return _transform(x, y, source, target, F)
+
+
+def _transform(x, y, source: int, target: int, library):
     if source == target:
         return x, y
-    lon, lat = (x, y) if source == 4326 else _to_geographic(x, y, source)
-    return (lon, lat) if target == 4326 else _from_geographic(lon, lat, target)
+    lon, lat = (x, y) if source == 4326 else _to_geographic(x, y, source, library)
+    return (lon, lat) if target == 4326 else _from_geographic(lon, lat, target, library)
+
+
+def transform_points(x: np.ndarray, y: np.ndarray, source: int, target: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for arrays."""
+    return _transform(np.asarray(x, dtype="float64"), np.asarray(y, dtype="float64"), source, target, Numbers)
+
+
+def compare_proj(first: object, second: object) -> bool:
+    """Whether two reference systems, as codes or text, are the same."""
+    from strataframe.plans.grid import check_crs
+
+    return check_crs(first) == check_crs(second)
+
+
+def densified(ring: Sequence[tuple[float, float]], points: int) -> np.ndarray:
+    """A closed ring with ``points`` more vertices evenly on each side."""
+    r = np.asarray(ring, dtype="float64")
+    part = np.arange(points + 1)[None, :, None] / (points + 1)
+    return np.vstack([(r[:-1, None, :] + part * (r[1:] - r[:-1])[:, None, :]).reshape(-1, 2), r[-1:]])
+
+
+def footprint_projected(bounds: Sequence[float], source: int, target: int, densify_points: int = 5000) -> np.ndarray:
+    """The closed outline of a box in another reference system; its sides are made dense first, as they bend."""
+    left, bottom, right, top = bounds
+    ring = densified([(left, bottom), (right, bottom), (right, top), (left, top), (left, bottom)], densify_points)
+    return np.stack(transform_points(ring[:, 0], ring[:, 1], source, target), axis=1)
+
+
+def bounds_projected(bounds: Sequence[float], source: int, target: int, densify_points: int = 5000) -> tuple[float, float, float, float]:
+    """The box around a box's outline in another reference system."""
+    ring = footprint_projected(bounds, source, target, densify_points)
+    return (*map(float, ring.min(axis=0)), *map(float, ring.max(axis=0)))
+
+
+def bounds2poly(bounds: Sequence[float], source: int | None = None, target: int | None = None) -> list[tuple[float, float]]:
+    """The closed ring of a box's corners, in another reference system if both are given."""
+    left, bottom, right, top = bounds
+    x, y = np.array([left, right, right, left, left], dtype="float64"), np.array([bottom, bottom, top, top, bottom], dtype="float64")
+    if source is not None and target is not None:
+        x, y = transform_points(x, y, source, target)
+    return list(zip(x.tolist(), y.tolist(), strict=True))
+
+
+def reproject_shape(geom: str | Column, source: int, target: int) -> Column:
+    """A geometry column in another reference system, vertex by vertex."""
+    from strataframe.functions.geometry import map_vertices
+
+    return map_vertices(geom, lambda x, y: transform_xy(x, y, source, target))

@@ -54,8 +54,10 @@ def _total(values: Column) -> Column:
 
 
 def signed_area(ring: Column) -> Column:
-    """Positive if the ring turns counter-clockwise; open rings are closed."""
-    return _total(F.zip_with(ring, _turn(ring), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])) / 2
+    """Positive if the ring turns counter-clockwise; open rings are closed. Reckoned from the first vertex, so far places keep their digits."""
+    first = F.get(ring, 0)
+    x, y = first["x"], first["y"]
+    return _total(F.zip_with(ring, _turn(ring), lambda p, q: (p["x"] - x) * (q["y"] - y) - (q["x"] - x) * (p["y"] - y))) / 2
 
 
 def area(g: str | Column) -> Column:
@@ -302,3 +304,25 @@ def to_geojson(g: str | Column) -> Column:
     nested = F.transform(g["parts"], lambda p: F.transform(p, pair))
     deep = F.when(g["type"] == "Polygon", F.to_json(nested[0])).when(g["type"] == "Point", F.to_json(nested[0][0][0])).when(g["type"] == "LineString", F.to_json(nested[0][0])).when(g["type"].isin("MultiLineString", "MultiPoint"), F.to_json(F.flatten(nested))).otherwise(F.to_json(nested))
     return F.concat(F.lit('{"type":"'), g["type"], F.lit('","coordinates":'), deep, F.lit("}"))
+
+
+def force_3d(g: str | Column, z: float = 0.0) -> Column:
+    """Vertices with a z; those that have one keep it."""
+    g = _geom(g)
+    return F.struct(g["type"].alias("type"), F.transform(g["parts"], lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), F.lit(float(z)).alias("z"))))).alias("parts"))
+
+
+def force_2d(g: str | Column) -> Column:
+    """Vertices without z."""
+    return map_vertices(g, lambda x, y: (x, y))
+
+
+def geom_type(g: str | Column) -> Column:
+    return _geom(g)["type"]
+
+
+def get_precision(g: str | Column) -> Column:
+    """The largest power of ten (at most 1) of which all coordinates are multiples, 0 if none down to 1e-9 is."""
+    values = F.flatten(F.transform(vertices(g), lambda v: F.array(v["x"], v["y"])))
+    steps = F.filter(F.array(*[F.lit(10.0**-k) for k in range(10)]), lambda s: F.forall(values, lambda v: F.abs(v / s - F.rint(v / s)) < 1e-6))
+    return F.when(_geom(g).isNotNull(), F.coalesce(F.array_max(steps), F.lit(0.0)))

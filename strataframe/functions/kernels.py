@@ -523,6 +523,41 @@ def voronoi(points: np.ndarray) -> list[np.ndarray]:
     return cells
 
 
+def voronoi_faces(points: np.ndarray) -> Shape:
+    """The bounded faces between the finite ridges of a Voronoi diagram; of a lattice's corners, what its diagonals leave."""
+    spots = np.unique(points, axis=0)
+    tri = delaunay(spots)
+    if not len(tri):
+        return []
+    a, b, c = (spots[tri[:, k]] for k in range(3))
+    d = 2 * (a[:, 0] * (b[:, 1] - c[:, 1]) + b[:, 0] * (c[:, 1] - a[:, 1]) + c[:, 0] * (a[:, 1] - b[:, 1]))
+    a2, b2, c2 = ((v**2).sum(axis=1) for v in (a, b, c))
+    centre = np.stack([(a2 * (b[:, 1] - c[:, 1]) + b2 * (c[:, 1] - a[:, 1]) + c2 * (a[:, 1] - b[:, 1])) / d, (a2 * (c[:, 0] - b[:, 0]) + b2 * (a[:, 0] - c[:, 0]) + c2 * (b[:, 0] - a[:, 0])) / d], axis=1)
+    beside: dict[tuple[int, int], list[int]] = {}
+    for k, t in enumerate(np.sort(tri, axis=1).tolist()):
+        for side in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])):
+            beside.setdefault(side, []).append(k)
+    ridges = [centre[pair] for pair in beside.values() if len(pair) == 2]
+    return overlay.faces([[r] for r in ridges if np.hypot(*(r[1] - r[0])) > 1e-9 * np.abs(spots).max()])
+
+
+def voronoi_within(points: np.ndarray, bound: Shape) -> list[Shape]:
+    """The Voronoi cell of each different place inside bounding polygons, in the order of the places; they fill the bound."""
+    spots, rim = np.unique(points, axis=0), all_points(bound)
+    low, high = np.minimum(rim.min(axis=0), spots.min(axis=0)) - 1, np.maximum(rim.max(axis=0), spots.max(axis=0)) + 1
+    cells = []
+    for k, v in enumerate(spots):
+        cell = np.array([low, (high[0], low[1]), high, (low[0], high[1]), low])
+        for w in spots[np.argsort(np.hypot(*(spots - v).T))][1:]:
+            d = w - v
+            side = (cell - (v + w) / 2) @ d
+            if (side > 0).any():
+                cut = [p for p0, p1, s0, s1 in zip(cell[:-1], cell[1:], side[:-1], side[1:], strict=True) for p in ([p0] if s0 <= 0 else []) + ([p0 + (p1 - p0) * s0 / (s0 - s1)] if (s0 <= 0) != (s1 <= 0) else [])]
+                cell = overlay.closed(np.array(cut))
+        cells.append(overlay.intersection([[cell]], bound))
+    return cells
+
+
 def clip_convex(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
     """Part of a ring inside a convex ring, closed; empty if there is none."""
     clip = clip[:-1] if (clip[0] == clip[-1]).all() else clip
@@ -723,5 +758,7 @@ st_minimum_bounding_circle = _geometry(_circle)
 st_concave_hull = _geometry(lambda g, ratio: polygonal([[overlay.concave_hull(v, delaunay(v), ratio)]] if len(v := np.unique(all_points(g.shape), axis=0)) > 2 else []))
 st_offset_curve = _geometry(lambda g, distance: lineal([overlay.offset_line(r, distance) for p in g.shape for r in p if len(r) > 1]))
 st_line_merge = _geometry(lambda g: lineal(overlay.merged_lines([r for p in g.shape for r in p])))
+st_voronoi_faces = _geometry(lambda g: polygonal(voronoi_faces(all_points(g.shape))))
+st_voronoi_within = _geometry(lambda g, bound: polygonal([p for c in voronoi_within(all_points(g.shape), bound.shape) for p in c]))
 st_polygonize = _geometry(lambda g: polygonal(overlay.faces(g.shape)))
 st_build_area = _geometry(lambda g: polygonal(overlay.enclosed(g.shape)))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.functions.values import ARITHMETIC, BINARY, COMPARISON, LOGIC, apply_unary, clean
@@ -13,6 +14,7 @@ from strataframe.operators.sample import sample_key
 from strataframe.operators.stats import get_stats
 from strataframe.operators.vector import sjoin_points
 from strataframe.plans.grid import Bounds
+from strataframe.plans.running import running_sum
 
 
 @dataclass(frozen=True)
@@ -30,6 +32,64 @@ class PointCloud:
         kept = df.select(number.alias("point_id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(z).alias("z"))
         return PointCloud(kept, "z", crs)
 
+    @staticmethod
+    def from_tuples(spark: SparkSession, rows: Iterable[tuple], crs: int | None = None, data: str = "z") -> PointCloud:
+        """From (x, y, value) in order."""
+        numbered = [(k, float(x), float(y), None if v is None else float(v)) for k, (x, y, v) in enumerate(rows)]
+        return PointCloud(spark.createDataFrame(numbered, f"point_id bigint, x double, y double, `{data}` double"), data, crs)
+
+    @staticmethod
+    def from_array(spark: SparkSession, array: np.ndarray, crs: int | None = None, data: str = "z") -> PointCloud:
+        """From an array of three rows or three columns (three rows, if both are three)."""
+        a = np.asarray(array, dtype="float64")
+        if a.ndim != 2 or 3 not in a.shape:
+            raise ValueError("the array must have three rows or three columns")
+        return PointCloud.from_tuples(spark, zip(*(a if a.shape[0] == 3 else a.T).tolist(), strict=True), crs, data)
+
+    def to_xyz(self) -> DataFrame:
+        """x, y and the data column."""
+        return self.df.select("x", "y", F.col(self.data).alias(self.data))
+
+    def to_array(self) -> np.ndarray:
+        """Three rows on the driver, by point ids: for clouds that fit."""
+        table = self.df.orderBy("point_id").select("x", "y", F.col(self.data).cast("double").alias("v")).toArrow()
+        return np.stack([np.asarray(table.column(c).to_numpy(), dtype="float64") for c in ("x", "y", "v")])
+
+    def to_tuples(self) -> list[tuple]:
+        return [tuple(v) for v in self.to_array().T.tolist()]
+
+    @property
+    def is_loaded(self) -> bool:
+        """Whether the cloud is kept in memory."""
+        return self.df.is_cached
+
+    @property
+    def has_z(self) -> bool:
+        return "z" in self.df.columns
+
+    def reduce(self, name: str) -> float | None:
+        """A function of all valid values: sum, mean, min, max, std, var, median, ptp, prod, count or argmin and argmax (ids)."""
+        x = clean(F.col(self.data))
+        rules = {
+            "sum": F.sum(x), "mean": F.avg(x), "min": F.min(x), "max": F.max(x), "std": F.stddev_pop(x), "var": F.var_pop(x), "median": F.median(x), "ptp": F.max(x) - F.min(x), "prod": F.product(x),
+            "count": F.count(x), "argmin": F.min_by("point_id", F.struct(x, "point_id")), "argmax": F.min_by("point_id", F.struct(-x, "point_id")),
+        }
+        if name not in rules:
+            raise ValueError(f"unknown function: {name!r}")
+        return self.df.where(x.isNotNull()).agg(rules[name]).first()[0]
+
+    def cumsum(self) -> DataFrame:
+        """``point_id, value``: running sum of valid values by point ids, spread over tasks."""
+        valid = self.df.select("point_id", F.coalesce(clean(F.col(self.data)), F.lit(0.0)).alias("_v"))
+        return running_sum(valid, [], ["point_id"], "_v", "value").select("point_id", F.col("value").cast("double").alias("value"))
+
+    def coords_equal(self, other: PointCloud) -> bool:
+        """Same reference system, and the same places by ids."""
+        if self.crs != other.crs:
+            return False
+        mine, others = self.df.select("point_id", "x", "y"), other.df.select("point_id", "x", "y")
+        return mine.exceptAll(others).isEmpty() and others.exceptAll(mine).isEmpty()
+
     @property
     def columns(self) -> list[str]:
         return self.df.columns

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataframe.functions.values import ARITHMETIC, BINARY, COMPARISON, LOGIC, apply_unary, clean
 from strataframe.operators.stats import get_stats
-from strataframe.plans.grid import Grid, InvalidGridError, Bounds, cast_nodata, common_interpretation, default_nodata, intersection
+from strataframe.plans.grid import INTEGER_RANGE, Bounds, Grid, InvalidGridError, cast_nodata, common_interpretation, default_nodata, grid_from_coords, intersection, subdivision
 
 CELL = ["band", "row", "col"]
 
@@ -159,10 +161,12 @@ class Raster:
         return Raster(self.df.select(*CELL, F.when(~null, raw).alias("value"), raw.alias("raw")), replace(self.grid, nodata=new))
 
     def astype(self, dtype: str, convert_nodata: bool = True) -> Raster:
-        """Casts values; nodata becomes the new type's default where it doesn't fit."""
+        """Casts values, those outside the type's range become null; nodata becomes the new type's default where it doesn't fit."""
         kinds = {"uint8": "smallint", "int8": "tinyint", "int16": "smallint", "uint16": "int", "int32": "int", "uint32": "bigint", "int64": "bigint", "uint64": "decimal(20,0)", "float32": "float", "float64": "double", "bool": "boolean"}
         grid = replace(self.grid, dtype=dtype, nodata=cast_nodata(self.grid.nodata, dtype) if convert_nodata else self.grid.nodata)
-        return self.with_value(F.col("value").try_cast(kinds[dtype]), grid)
+        low, high = INTEGER_RANGE.get(dtype, (None, None))
+        value = F.col("value") if low is None else F.when((F.col("value") > low - 1.0) & (F.col("value") < high + 1.0), F.col("value"))
+        return self.with_value(value.try_cast(kinds[dtype]), grid)
 
     def filled(self, nodata: float | None = None) -> DataFrame:
         """Cells as they are exported: nulls as nodata (the type's default where none is set)."""
@@ -210,6 +214,50 @@ class Raster:
         col, row = F.col("col") + (dx - half), F.col("row") + (dy - half)
         return self.df.select(*CELL, (g.a * col + g.b * row + g.c).alias("x"), (g.d * col + g.e * row + g.f).alias("y"), "value")
 
+    def rotated_xy(self, angle: float) -> DataFrame:
+        """Distances along (``xx``) and across (``yy``) a direction, from the least of each, of the cells' lower left corners."""
+        turn, cells = math.radians(angle), self.coordinates("ll")
+        x, y = F.col("x"), F.col("y")
+        turned = cells.select(*CELL, (x * math.cos(turn) - y * math.sin(turn)).alias("xx"), (x * math.sin(turn) + y * math.cos(turn)).alias("yy"))
+        least = turned.agg(F.min("xx").alias("_x"), F.min("yy").alias("_y"))
+        return turned.crossJoin(F.broadcast(least)).select(*CELL, (F.col("xx") - F.col("_x")).alias("xx"), (F.col("yy") - F.col("_y")).alias("yy"))  # one row
+
+    def info(self, stats: bool = False) -> str:
+        """Text about grid and bands, with statistics if asked."""
+        g = self.grid
+        lines = [f"Driver:               {g.driver}", f"Opened from file:     {g.name}", f"Size:                 {g.width}, {g.height}", f"Number of bands:      {self.count}", f"Data types:           {g.dtype}"]
+        lines += [f"Coordinate system:    {f'EPSG:{g.crs}' if g.crs else None}", f"Nodata value:         {g.nodata}", f"Pixel interpretation: {g.area_or_point}", f"Pixel size:           {g.res[0]}, {g.res[1]}", f"Upper left corner:    {g.bounds.left}, {g.bounds.top}", f"Lower right corner:   {g.bounds.right}, {g.bounds.bottom}"]
+        if stats:
+            for row in get_stats(self.df, "value", ["max", "min", "median", "mean", "std"], ["band"]).orderBy("band").collect():
+                lines += [f"Band {row.band}:", *[f"  {n}: {row[n]}" for n in ("max", "min", "median", "mean", "std")]]
+        return "\n".join(lines)
+
+    def to_array(self) -> np.ndarray:
+        """Bands, rows and columns on the driver, NaN where there is no data: for rasters that fit."""
+        table = self.df.toArrow()
+        band, row, col = (table.column(c).to_numpy() for c in CELL)
+        numbers = np.unique(band)
+        out = np.full((max(1, len(numbers)), *self.grid.shape), np.nan)
+        out[np.searchsorted(numbers, band), row, col] = np.asarray(table.column("value").to_numpy(), dtype="float64")
+        return out
+
+    def to_xarray(self, name: str | None = None):
+        """A DataArray with y and x at the cells' centres; needs xarray."""
+        import xarray
+
+        xs, ys = self.grid.coords("center")
+        ys = ys[::-1] if self.grid.e < 0 else ys
+        return xarray.DataArray(self.to_array(), dims=("band", "y", "x"), coords={"band": self.bands or [1], "y": ys, "x": xs}, name=name, attrs={"_FillValue": self.grid.nodata, "crs": self.grid.crs})
+
+    @staticmethod
+    def from_xarray(spark: SparkSession, data, crs: int | None = None) -> Raster:
+        """From anything with ``values`` (rows and columns, or bands of them) and regular ``coords`` x and y of the centres."""
+        xs, ys = (np.asarray(getattr(data.coords[c], "values", data.coords[c]), dtype="float64") for c in ("x", "y"))
+        values = np.asarray(data.values, dtype="float64")
+        grid = grid_from_coords((xs, ys), crs if crs is not None else data.attrs.get("crs")).translate(-0.5, -0.5, "pixel")
+        values = values[..., ::-1, :] if ys[0] < ys[-1] else values
+        return Raster.from_array(spark, np.where(np.isfinite(values), values, None).tolist(), replace(grid, nodata=data.attrs.get("_FillValue")))
+
     # --- functions along cells
 
     def cumsum(self) -> DataFrame:
@@ -263,13 +311,11 @@ def merge(rasters: Sequence[Raster], reducers: Sequence[str] = ("mean",)) -> Ras
     return Raster(wide.select("row", "col", bands).select("b.band", "row", "col", "b.value"), rasters[0].grid)
 
 
-def subdivide(grid: Grid, count: int) -> tuple[int, int]:
-    """Rows and columns of blocks that cut a grid into ``count`` nearly equal parts."""
-    from strataframe.plans.grid import closest_rectangle
-
-    return closest_rectangle(count)
+def subdivide(grid: Grid, count: int) -> Column:
+    """Number of the block of each cell, 0 to ``count - 1``, of blocks that cut a grid into nearly equal parts."""
+    (rows, cols), spare = subdivision(grid.shape, count)
 
+    def place(axis: str, length: int, blocks: int) -> Column:
+        return F.floor(F.col(axis) * ((blocks - 1) / (length - 1)) + 0.5) if length > 1 else F.lit(0)
 
-def block_of(grid: Grid, rows: int, cols: int) -> Column:
-    """Number of the block of a cell, row-major."""
-    return (F.floor(F.col("row") * rows / grid.height) * cols + F.floor(F.col("col") * cols / grid.width)).cast("int")
+    return F.greatest(F.lit(0), place("row", grid.height, rows) * cols + place("col", grid.width, cols) - spare).cast("int")

@@ -17,6 +17,7 @@ ALIASES = {
     "iqr": "iqr", "le90": "le90", "nmad": "nmad", "rmse": "rmse", "rms": "rmse", "std": "std", "standarddeviation": "std", "stddev": "std",
     "validcount": "valid_count", "totalcount": "total_count", "percentagevalidpoints": "percent_valid", "percentvalid": "percent_valid",
     "validinliercount": "valid_inlier_count", "totalinliercount": "total_inlier_count", "percentinlier": "percent_inlier", "percentvalidinlier": "percent_valid_inlier",
+    "percentageinlierpoints": "percent_inlier", "percentagevalidinlierpoints": "percent_valid_inlier",
 }
 ONE_PASS = ("mean", "median", "max", "min", "sum", "sum_of_squares", "p90", "le90", "iqr", "rmse", "std", "valid_count", "total_count", "percent_valid")
 INLIER = ("valid_inlier_count", "total_inlier_count", "percent_inlier", "percent_valid_inlier")

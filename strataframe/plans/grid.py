@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 
+import numpy as np
+
+from strataframe.functions.crs import bounds_projected, footprint_projected, transform_points
+
 #: Default nodata by data type.
 DEFAULT_NODATA = {
-    "bool": 255, "uint8": 255, "int8": -128, "uint16": 65535, "int16": -32768, "uint32": 99999, "uint64": 99999,
-    "int32": -99999, "int64": -99999, "float16": -99999, "float32": -99999, "float64": -99999, "float128": -99999, "longdouble": -99999,
-}
+    "bool": 255,
+    "uint8": 255,
+    "int8": -128,
+    "uint16": 65535,
+    "int16": -32768,
+    "uint32": 99999,
+    "int32": -99999,
+    "uint64": 99999,
+    "int64": -99999,
+    "float16": -99999,
+    "float32": -99999,
+    "float64": -99999,
+    "float128": -99999,
+    "longdouble": -99999,
+}
 #: Ranges of the whole-number types.
 INTEGER_RANGE = {"uint8": (0, 255), "int8": (-128, 127), "uint16": (0, 65535), "int16": (-32768, 32767), "uint32": (0, 4294967295), "int32": (-2147483648, 2147483647), "uint64": (0, 2**64 - 1), "int64": (-(2**63), 2**63 - 1)}
 #: Where in a pixel a coordinate points to, as parts of its width and height.
@@ -165,6 +182,33 @@ class Grid:
         left, bottom, right, top = self.bounds
         return [(left, bottom), (right, bottom), (right, top), (left, top), (left, bottom)]
 
+    @property
+    def profile(self) -> dict:
+        """Everything but the cells."""
+        return {"driver": self.tags.get("driver", "parquet"), "dtype": self.dtype, "nodata": self.nodata, "width": self.width, "height": self.height, "crs": self.crs, "transform": self.transform}
+
+    @property
+    def name(self) -> str | None:
+        """Where the raster came from."""
+        return self.tags.get("name")
+
+    @property
+    def driver(self) -> str | None:
+        return self.tags.get("driver")
+
+    def bounds_projected(self, crs: int, densify_points: int | None = None) -> Bounds:
+        """Bounds in another reference system; by default a vertex per cell of the longer side, 5,000 at most."""
+        return Bounds(*bounds_projected(self.bounds, self.crs, crs, min(max(self.shape), 5000) if densify_points is None else densify_points))
+
+    def footprint_projected(self, crs: int, densify_points: int | None = None) -> list[tuple[float, float]]:
+        """Closed ring of the dense outline in another reference system."""
+        return [tuple(p) for p in footprint_projected(self.bounds, self.crs, crs, min(max(self.shape), 5000) if densify_points is None else densify_points).tolist()]
+
+    def block_footprints(self, size: int, crs: int | None = None) -> list[list[tuple[float, float]]]:
+        """The outlines of all tiles, row-major."""
+        parts = [self.part(*t) for t in self.tiles(size)]
+        return [p.footprint if crs is None or crs == self.crs else p.footprint_projected(crs) for p in parts]
+
     def same_place(self, other: Grid) -> bool:
         """Equal shape, transform and reference system."""
         return (self.shape, self.transform, self.crs) == (other.shape, other.transform, other.crs)
@@ -239,11 +283,19 @@ def tiling(shape: tuple[int, int], size: int | tuple[int, int], overlap: int = 0
 
 
 def closest_rectangle(count: int) -> tuple[int, int]:
-    """Rows and columns of the most nearly square rectangle with at least ``count`` fields."""
-    rows = max(1, math.isqrt(count))
-    while count % rows and rows * math.ceil(count / rows) != count and rows > 1 and (rows - 1) * math.ceil(count / (rows - 1)) <= rows * math.ceil(count / rows):
-        rows -= 1
-    return rows, math.ceil(count / rows)
+    """Rows and columns of the least rectangle of at least ``count`` fields whose sides differ by one at most."""
+    side = math.isqrt(count)
+    return side + (count > side * (side + 1)), side + (count > side * side)
+
+
+def subdivision(shape: Sequence[int], count: int) -> tuple[tuple[int, int], int]:
+    """The rectangle of blocks that cuts a shape into ``count``, and how many of its fields at the start are one block."""
+    if len(shape) != 2:
+        raise ValueError(f"Expected a 2D shape, got {len(shape)}D shape: {shape}")
+    if count > shape[0] * shape[1]:
+        raise ValueError(f"Shape '{tuple(shape)}' size ({shape[0] * shape[1]}) is smaller than 'count' ({count}).")
+    rows, cols = closest_rectangle(count)
+    return (rows, cols), rows * cols - count
 
 
 def intersection(first: Bounds, second: Bounds) -> Bounds | None:
@@ -268,12 +320,12 @@ def merge_bounds(boxes: Iterable[object], resolution: float | None = None, how:
 
 
 def align_bounds(grid: Grid, box: object) -> Bounds:
-    """A box widened outwards to the lines of a grid."""
-    left, bottom, right, top = check_bounds(box)
-    xres, yres = grid.a, abs(grid.e)
-    x0 = grid.c + math.floor((left - grid.c) / xres) * xres
-    y1 = grid.f - math.floor((grid.f - top) / yres) * yres
-    return Bounds(x0, y1 - math.ceil((y1 - bottom) / yres) * yres, x0 + math.ceil((right - x0) / xres) * xres, y1)
+    """A box widened outwards to the lines of a grid: numbers of lines first, then their coordinates."""
+    want = check_bounds(box)
+    columns = [(x - grid.c) / grid.a for x in (want.left, want.right)]
+    rows = [(y - grid.f) / grid.e for y in (want.top, want.bottom)]
+    (first, last), (upper, lower) = ((math.floor(min(n)), math.ceil(max(n))) for n in (columns, rows))
+    return Bounds(grid.c + first * grid.a, grid.f + lower * grid.e, grid.c + last * grid.a, grid.f + upper * grid.e)
 
 
 def grid_from_bounds_res(bounds: object, res: float | Sequence[float], crs: int | None = None) -> Grid:
@@ -327,3 +379,67 @@ def match_grid(source: Grid, ref: object = None, res: object = None, shape: obje
     else:
         made = grid_from_bounds_res(box, res if res is not None else source.res, code)
     return replace(made, nodata=source.nodata, dtype=source.dtype, area_or_point=source.area_or_point)
+
+
+def chunk_sizes(shape: Sequence[int], size: int | Sequence[int]) -> tuple[tuple[int, ...], ...]:
+    """Lengths of the chunks along each axis: whole ones, then what is left."""
+    pair = (size,) * len(shape) if isinstance(size, int) else tuple(size)
+    return tuple((*[s] * (n // s), *([n % s] if n % s else [])) for n, s in zip(shape, pair, strict=True))
+
+
+def chunk_starts(sizes: Sequence[Sequence[int]], initial_zero: bool = True) -> tuple[tuple[int, ...], ...]:
+    """Where the chunks of each axis begin (or end)."""
+    ends = [tuple(itertools.accumulate(s)) for s in sizes]
+    return tuple((0, *e) if initial_zero else e for e in ends)
+
+
+def source_tiles(source: Grid, target: Grid, source_size: int, target_size: int, margin: int = 2) -> list[tuple[int, list[int]]]:
+    """For each tile of the target, the numbers of the source tiles that its outline, wider by ``margin`` cells, meets."""
+    tiles = source.tiles(source_size)
+    boxes = [source.part(*t).bounds for t in tiles]
+    out = []
+    for k, t in enumerate(target.tiles(target_size)):
+        left, bottom, right, top = target.part(*t).bounds
+        wide = (left - margin * target.res[0], bottom - margin * target.res[1], right + margin * target.res[0], top + margin * target.res[1])
+        box = Bounds(*bounds_projected(wide, target.crs, source.crs, 20)) if target.crs and source.crs and target.crs != source.crs else Bounds(*wide)
+        out.append((k, [n for n, b in enumerate(boxes) if intersection(box, b) is not None]))
+    return out
+
+
+def spanned(grid: Grid, tiles: Sequence[int], size: int) -> tuple[Grid, list[tuple[int, int, int, int]]]:
+    """The grid that holds some tiles of a grid, and each tile's window in it."""
+    every = grid.tiles(size)
+    mine = [every[t] for t in tiles]
+    r0, c0 = min(m[0] for m in mine), min(m[2] for m in mine)
+    whole = grid.part(r0, max(m[1] for m in mine), c0, max(m[3] for m in mine))
+    return whole, [(a - r0, b - r0, c - c0, d - c0) for a, b, c, d in mine]
+
+
+def reproject_nodata(source: Grid, nodata: float | None = None, dtype: str | None = None, force_source_nodata: float | None = None) -> tuple[str, float | None, float]:
+    """(type, nodata of the source, nodata of the result) of a reprojection: given ones, else the source's, else the type's default."""
+    kind = dtype or source.dtype
+    old = force_source_nodata if force_source_nodata is not None else source.nodata
+    new = nodata if nodata is not None else source.nodata if source.nodata is not None and fits(source.nodata, kind) else default_nodata(kind)
+    if not fits(new, kind):
+        raise ValueError(f"nodata {new} does not fit {kind}")
+    return kind, old, new
+
+
+def burn_dtype(fill: float, burn: object, dtype: str | None = None) -> str:
+    """The type that holds both what is burnt and what is left: the given one, or the narrowest that numpy promotes to."""
+    return dtype or str(np.result_type(np.min_scalar_type(fill), *[np.min_scalar_type(b) for b in (burn if isinstance(burn, (list, tuple)) else [burn])]))
+
+
+def match_points(source: Grid, points: object, crs: int | None = None) -> tuple[tuple[np.ndarray, np.ndarray], bool]:
+    """Coordinates in the source's reference system, and whether a single point was given.
+
+    ``points`` is a pair of numbers or of sequences, or anything with ``x`` and ``y``; ``crs`` is theirs if it is another.
+    """
+    x, y = (points.x, points.y) if hasattr(points, "x") and hasattr(points, "y") else points
+    single = np.ndim(x) == 0
+    x, y = np.atleast_1d(np.asarray(x, dtype="float64")), np.atleast_1d(np.asarray(y, dtype="float64"))
+    if x.shape != y.shape:
+        raise InvalidCoordsError("x and y must be of one length")
+    if crs is not None and source.crs is not None and crs != source.crs:
+        x, y = transform_points(x, y, crs, source.crs)
+    return (x, y), single

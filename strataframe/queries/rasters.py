@@ -9,7 +9,7 @@ from strataframe.functions.crs import transform_xy, utm_zone
 from strataframe.functions.values import COMPARISON
 from strataframe.operators import focal, points, resample, sample
 from strataframe.operators.proximity import proximity
-from strataframe.operators.raster import Raster, block_of, merge, stack, subdivide
+from strataframe.operators.raster import Raster, merge, stack, subdivide
 from strataframe.operators.regions import label_regions, polygonize
 from strataframe.operators.stats import get_stats, linear_error, nmad
 from strataframe.operators.tiles import collect_tiles, map_tiles
@@ -354,10 +354,9 @@ def subsample_topk(spark, d):
     return sample.topk_sample(f1(spark, d), 500, 42)
 
 
-@query("subdivide_array", "SELECT row, col, CAST(floor(row * 2 / 7) * 3 + floor(col * 3 / 50) AS INT) AS block FROM f6", SQL_F6)
+@query("subdivide_array", "SELECT row, col, CAST(greatest(0, floor(row * (2 / 6.0::DOUBLE) + 0.5::DOUBLE) * 3 + floor(col * (2 / 49.0::DOUBLE) + 0.5::DOUBLE) - 2) AS INT) AS block FROM f6", SQL_F6)
 def subdivide_array(spark, d):
-    rows, cols = subdivide(F2_GRID, 6)
-    return f6(spark, d).df.select("row", "col", block_of(F2_GRID, rows, cols).alias("block"))
+    return f6(spark, d).df.select("row", "col", subdivide(F2_GRID, 7).alias("block"))
 
 
 @query("compute_tiling", "SELECT greatest(0, r * 3 - 1) AS row_from, least(7, r * 3 + 4) AS row_to, greatest(0, c * 16 - 1) AS col_from, least(50, c * 16 + 17) AS col_to FROM range(2) p(r), range(4) q(c)")

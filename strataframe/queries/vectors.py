@@ -154,7 +154,7 @@ def parse_tile_names(spark, d):
     return t.select("name", (c["lat"] + 0.0).alias("lat"), (c["lon"] + 0.0).alias("lon"))
 
 
-@query("parse_scenes", "SELECT * FROM (VALUES ('LE71400412000304SGS00_B4', 'Landsat 7', 'ETM+', '140041', '2000-10-30'), ('LC08_L1TP_140041_20150304_20170412_01_T1', 'Landsat 8', 'OLI/TIRS', '140041', '2015-03-04'), ('T18XWL_20180501T100019_B04', 'Sentinel-2', 'MSI', 'T18XWL', '2018-05-01'), ('N45E006', NULL, NULL, 'N45E006', NULL)) t(name, platform, sensor, tile, date)")
+@query("parse_scenes", "SELECT * FROM (VALUES ('LE71400412000304SGS00_B4', 'Landsat 7', 'ETM+', '140041', '2000-10-30'), ('LC08_L1TP_140041_20150304_20170412_01_T1', 'Landsat 8', 'OLI/TIRS', '140041', '2015-03-04'), ('T18XWL_20180501T100019_B04', 'Sentinel-2', 'MSI', '18XWL', '2018-05-01'), ('N45E006', NULL, NULL, 'N45E006', NULL)) t(name, platform, sensor, tile, date)")
 def parse_scenes(spark, d):
     t = spark.createDataFrame([("LE71400412000304SGS00_B4",), ("LC08_L1TP_140041_20150304_20170412_01_T1",), ("T18XWL_20180501T100019_B04",), ("N45E006",)], "name string")
     return t.select("name", names.scene(F.col("name")).alias("s")).select("name", "s.platform", "s.sensor", "s.tile", F.col("s.date").cast("string").alias("date"))
