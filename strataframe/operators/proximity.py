@@ -2,7 +2,7 @@
 
 The squared distance is the least over the target's rows of (rows between)**2 plus, in that row, (columns between)**2.
 Pass one finds for each cell the nearest target along its row with running windows; pass two takes the least over the
-cells of its column, column by column in numpy. Neither pass pairs all cells with all targets.
+cells of its column, column by column, as the lower envelope of parabolas. Both passes are linear.
 """
 
 from __future__ import annotations
@@ -15,20 +15,33 @@ from pyspark.sql import functions as F
 from strataframe.operators.raster import Raster
 
 
+def lower_envelope(at: np.ndarray, height: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """At each of ascending ``places``, the least of ``(place - at)**2 + height`` over all parabolas: linear time, one stack of parabolas."""
+    hull, starts = [0], [-np.inf]
+    f = (height + at * at).tolist()
+    x = at.tolist()
+    for k in range(1, len(x)):
+        while True:
+            j = hull[-1]
+            cut = (f[k] - f[j]) / (2 * (x[k] - x[j]))
+            if cut > starts[-1] or len(hull) == 1 and cut == -np.inf:
+                break
+            hull.pop()
+            starts.pop()
+        hull.append(k)
+        starts.append(cut)
+    own = np.array(hull)[np.searchsorted(np.array(starts), places, side="right") - 1]
+    return (places - at[own]) ** 2 + height[own]
+
+
 def _down(height: int, yres: float):
     def down(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row")
         rows = pdf.row.to_numpy()
         across = pdf.d.to_numpy(dtype="float64", na_value=np.nan)
         known = ~np.isnan(across)
-        out = np.full(len(rows), np.inf)
-        at, square = rows[known] * yres, across[known] ** 2
-        if len(at):
-            for k in range(0, len(rows), 512):
-                part = rows[k : k + 512, None] * yres - at[None, :]
-                out[k : k + 512] = (part * part + square[None, :]).min(axis=1)
-        value = np.sqrt(out)
-        return pd.DataFrame({"band": pdf.band.to_numpy(), "row": rows, "col": pdf.col.to_numpy(), "value": pd.Series(value, dtype="Float64").mask(np.isinf(value))})
+        value = np.sqrt(lower_envelope(rows[known] * yres, across[known] ** 2, rows * yres)) if known.any() else np.full(len(rows), np.nan)
+        return pd.DataFrame({"band": pdf.band.to_numpy(), "row": rows, "col": pdf.col.to_numpy(), "value": pd.Series(value, dtype="Float64").mask(np.isnan(value))})
 
     return down
 

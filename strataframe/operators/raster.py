@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strataframe.functions.values import ARITHMETIC, BINARY, COMPARISON, LOGIC, apply_unary, clean
 from strataframe.operators.stats import get_stats
-from strataframe.plans.grid import INTEGER_RANGE, Bounds, Grid, InvalidGridError, cast_nodata, common_interpretation, default_nodata, grid_from_coords, intersection, subdivision
+from strataframe.plans.grid import INTEGER_RANGE, Bounds, Grid, InvalidGridError, cast_nodata, check_crs, common_interpretation, default_nodata, grid_from_coords, intersection, subdivision
 
 CELL = ["band", "row", "col"]
 
@@ -51,6 +51,13 @@ class Raster:
     def is_mask(self) -> bool:
         return self.df.schema["value"].dataType.typeName() == "boolean"
 
+    def set_transform(self, transform: Sequence[float]) -> Raster:
+        a, b, c, d, e, f = map(float, transform)
+        return Raster(self.df, replace(self.grid, a=a, b=b, c=c, d=d, e=e, f=f))
+
+    def set_crs(self, crs: object) -> Raster:
+        return Raster(self.df, replace(self.grid, crs=check_crs(crs)))
+
     def split_bands(self, bands: Sequence[int] | None = None) -> list[Raster]:
         return [Raster(self.df.where(F.col("band") == b).withColumn("band", F.lit(1)), self.grid) for b in bands or self.bands]
 
