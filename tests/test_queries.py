@@ -8,7 +8,7 @@ import pytest
 
 from tests.conftest import assert_same
 
-MODULES = [importlib.import_module(f"strataframe.queries.{m}") for m in ("near", "calls", "rasters", "vectors", "shapes", "clouds", "features")]
+MODULES = [importlib.import_module(f"strataframe.queries.{m}") for m in ("near", "calls", "rasters", "vectors", "shapes", "clouds", "features", "accessors")]
 CASES = [(name, m.QUERIES[name], m.ORACLES.get(name)) for m in MODULES for name in m.QUERIES]
 
 
