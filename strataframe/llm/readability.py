@@ -8,6 +8,7 @@ each band's sentences and each document's mixture are estimated together, and th
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,10 +24,29 @@ LOWEST, STEP, CLASSES = -5.0, 0.5, 140
 FIT_DOCUMENTS = 20_000
 _SENTENCE = re.compile(r"(?<=[.!?;])[\"')\]]*\s+|\n[ \t]*\n")
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
-_VOWELS = re.compile(r"[aeiouyàâäáéèêëíîïóôöúùûü]+")
-#: Letter pairs in which both vowels sound, and endings whose vowel is silent.
-_APART = re.compile(r"ia(?!l\b|n\b|ll)|iu|io(?!n|u)|eo(?!u)|ua(?!r)|[aeiou]ing|ism\b|thm\b|iet|[^gq]ua|uou")
-_SILENT = re.compile(r"[^aeiouylr]e\b|[^aeiouy]le?s\b(?<!les)|[^aeiouytd]ed\b|[^aeiouyszxgc]es\b|[aeiouy]re\b|[aeiou]le\b")
+#: Patterns as hyphenation has them, for neighbouring vowels. A digit stands between two letters, a full stop
+#: for a word's end; the highest digit that any pattern puts in a place counts. Odd: the vowels part. Even: they sound as
+#: one. Without any pattern vowels part.
+PATTERNS = """
+a2i a2u a2e e2a e2e e2i e2u i2e o2a o2i o2o o2u u2i u2e
+qu2a qu2e qu2i qu2o gu2a gu2e gu2i su2ad su2av
+ti2on ti2ous ti2al ti2an ti4en ci2on ci2ous ci2al ci2an ci4en si2on si2an si4en xi2on xi2ous gi2on gi2ous gi2an .gi3ant chi2on shi2on lli2on ni2on li2ar ri2age li2am
+ge2ous pe4op je4op o2es. o2e. shoe4
+cre3at re3act re3al .re4al. ne3ar. .ne4ar le3ar. .cle4ar ide3a are3a the3at pe3an e3ator e3ation
+i3en fri4en sci5en i3et i3er. i3ers. i3est. .ti4er. .pi4er. nti4er .pri4es hi3er i3era i3ety
+u3en u3el. u3els. u3et u3ity u3id .gu4id u3ing. u3ish ru3in tu3it genu3in ju3di bu4il gu4il
+a3ing. e3ing. o3ing. i3ing. y3ing.
+na3iv a3ic. a3ics. a3ical a3ity e3ity de3ity athe3is albe3it
+e3um e3us. nucle3u co3op co3ord zo3olog
+"""
+_RULES = {"".join(c for c in p if not c.isdigit()): [int(d) if d else 0 for d in re.split(r"[^\d]", p)] for p in PATTERNS.split()}
+_LONGEST = max(map(len, _RULES))
+#: Endings in which an e is mute, and those in which an m sounds like a syllable.
+_MUTE_END = re.compile(r"(?:[^aeiouy](?<![^aeiouyrl]l)(?<![^aeiouyrl]r)e|[gq]ue|[^aeiouysxzcg](?<![^aeiouyrl]l)(?<![sc]h)es|[gq]ues|[^aeiouytd](?<![^aeiouyrl]l)ed|eye|eyes)$")
+_MUTE_INSIDE = re.compile(r"[aeiou][^aeiouyl]{1,2}e(?=(?:ment|ly|ful|less|ness|some|thing|where|times)s?)")
+_LONE_M = re.compile(r"(?:s|th)ms?$")
+
+
 #: Frequent function words by language.
 FUNCTION_WORDS = {
     "en": "the of and to in is was were by with that this each which for from under near within along across it its as are at on an be or not their our any has have had they these those then than but so after because when while into over through if there here we more less most",
@@ -45,10 +65,22 @@ STATS = "doc_id bigint, n_words int, n_sentences int, english double, grade doub
 
 
 def syllables(word: str) -> int:
-    """Syllables of a word in lower case, by rules: vowel groups, pairs that part, silent endings. At least 1."""
+    """Syllables of a word in lower case: its vowels, those that :data:`PATTERNS` join as one, mute ones taken off. At least 1.
+
+    A y between vowels or before the first one is a consonant.
+    """
     n = _CACHE.get(word)
     if n is None:
-        n = max(1, len(_VOWELS.findall(word)) + len(_APART.findall(word)) - len(_SILENT.findall(word)))
+        text = f".{''.join(c for c in unicodedata.normalize('NFD', word) if not unicodedata.combining(c))}."
+        levels = [0] * (len(text) + 1)
+        for i in range(len(text)):
+            for j in range(i + 2, min(len(text), i + _LONGEST) + 1):
+                for k, level in enumerate(_RULES.get(text[i:j], ())):
+                    levels[i + k] = max(levels[i + k], level)
+        vowel = [c in "aeiou" or (c == "y" and not (text[i + 1] in "aeiou" and text[i - 1] in "aeiou.")) for i, c in enumerate(text[:-1])]
+        n = sum(v and not (vowel[i - 1] and levels[i] % 2 == 0 and levels[i]) and not (vowel[i - 1] and text[i] == "y") for i, v in enumerate(vowel) if i)
+        n -= (n > 1 and bool(_MUTE_END.search(text[1:-1]))) + len(_MUTE_INSIDE.findall(word))
+        n = max(1, n + bool(_LONE_M.search(word)))
         if len(_CACHE) >= _CACHE_WORDS:
             _CACHE.clear()
         _CACHE[word] = n
