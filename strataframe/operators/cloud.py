@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.functions.values import ARITHMETIC, BINARY, COMPARISON, LOGIC, apply_unary, clean
-from strataframe.operators.sample import sample_key
+from strataframe.operators.sample import least_keys
 from strataframe.operators.stats import get_stats
 from strataframe.operators.vector import sjoin_points
 from strataframe.plans.grid import Bounds
@@ -181,7 +181,7 @@ class PointCloud:
     def subsample(self, size: int, seed: int = 0) -> DataFrame:
         """The valid points with the least keys of their ids: the same whatever the partitions."""
         valid = self.df.where(clean(F.col(self.data)).isNotNull())
-        return valid.withColumn("_key", sample_key(F.col("point_id"), seed)).orderBy("_key", "point_id").limit(size).drop("_key")
+        return least_keys(valid, size, "point_id", seed)
 
     def equal(self, other: PointCloud) -> bool:
         """Same points, columns and data column."""

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.operators.raster import CELL, Raster
+from strataframe.operators.tiles import map_tiles
 
 
 def _check(size: int) -> int:
@@ -53,34 +55,79 @@ def _neighbours(raster: Raster, reach: int) -> DataFrame:
 
 
 def window_filter(raster: Raster, size: int, rule: Column) -> Raster:
-    """Any aggregate of ``value`` over the square window."""
+    """Any aggregate of ``value`` over the square window, each cell sent to its neighbours; :func:`generic_filter` takes numpy functions and sends tiles."""
     found = _neighbours(raster, _check(size)).groupBy(*CELL).agg(rule.alias("value"))
     return Raster(raster.dense().df.select(*CELL).join(found, CELL, "left"), raster.grid)
 
 
+#: Rows and columns of the tiles that filters without a running form are computed on.
+TILE = 256
+
+
+def windows(data: np.ndarray, size: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """Rows of a tile, some at a time, with the cells around each of their cells: (rows, columns, size * size), NaN beyond the tile."""
+    reach = size // 2
+    padded = np.pad(data, reach, constant_values=np.nan)
+    view = np.lib.stride_tricks.sliding_window_view(padded, (size, size))
+    step = max(1, (1 << 22) // (data.shape[1] * size * size))
+    for k in range(0, data.shape[0], step):
+        yield slice(k, k + step), view[k : k + step].reshape(-1, data.shape[1], size * size)
+
+
+def _median(size: int):
+    def run(data: np.ndarray) -> np.ndarray:
+        out = np.full(data.shape, np.nan)
+        for rows, around in windows(data, size):
+            ordered = np.sort(around, axis=2)  # NaN comes last
+            n = (~np.isnan(around)).sum(axis=2)
+            low, high = (np.take_along_axis(ordered, np.maximum(0, k)[..., None], axis=2)[..., 0] for k in ((n - 1) // 2, n // 2))
+            out[rows] = np.where(n > 0, (low + high) / 2, np.nan)
+        return out
+
+    return run
+
+
 def median_filter(raster: Raster, size: int = 5, keep_null: bool = False) -> Raster:
-    """Median of the window; with ``keep_null``, cells without data stay so."""
-    out = window_filter(raster, size, F.median("value"))
+    """Median of the window, on tiles with a halo; with ``keep_null``, cells without data stay so."""
+    out = map_tiles(raster, _median(size), TILE, _check(size))
     if keep_null:
         was = raster.df.where("value IS NOT NULL").select(*CELL, F.lit(True).alias("_ok"))
         out = Raster(out.df.join(was, CELL, "left").select(*CELL, F.when(F.col("_ok"), F.col("value")).alias("value")), raster.grid)
     return out
 
 
-def gaussian_filter(raster: Raster, sigma: float = 1.0) -> Raster:
-    """Mean weighted by exp(-d**2 / (2 sigma**2)) to a reach of 4 sigma, rounded; weights of nulls are left out."""
-    reach = int(4 * sigma + 0.5)
+def generic_filter(raster: Raster, func: Callable[[np.ndarray], np.ndarray], size: int = 3) -> Raster:
+    """Any numpy function of the windows: it gets (cells, size * size), NaN without data, and gives a number per cell."""
 
-    def blur(df: DataFrame, axis: str, other: str) -> DataFrame:
-        steps = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("step")
-        sent = df.select("band", axis, other, "s", "w", steps).withColumn(axis, F.col(axis) + F.col("step"))
-        limit = raster.grid.height if axis == "row" else raster.grid.width
-        weight = F.exp(-(F.col("step") * F.col("step")) / (2.0 * sigma * sigma))
-        return sent.where((F.col(axis) >= 0) & (F.col(axis) < limit)).groupBy("band", axis, other).agg(F.sum(weight * F.col("s")).alias("s"), F.sum(weight * F.col("w")).alias("w"))
+    def run(data: np.ndarray) -> np.ndarray:
+        out = np.full(data.shape, np.nan)
+        for rows, around in windows(data, size):
+            out[rows] = np.asarray(func(around.reshape(-1, size * size)), dtype="float64").reshape(around.shape[:2])
+        return out
 
-    valid = raster.df.where("value IS NOT NULL").select(*CELL, F.col("value").alias("s"), F.lit(1.0).alias("w"))
-    out = blur(blur(valid, "col", "row"), "row", "col")
-    return Raster(raster.dense().df.select(*CELL).join(out.select(*CELL, F.try_divide("s", "w").alias("value")), CELL, "left"), raster.grid)
+    return map_tiles(raster, run, TILE, _check(size))
+
+
+def _gaussian(sigma: float, reach: int):
+    weights = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2.0 * sigma * sigma))
+
+    def blur(a: np.ndarray) -> np.ndarray:
+        padded = np.pad(a, ((reach, reach), (0, 0)))
+        return sum(w * padded[k : k + len(a)] for k, w in enumerate(weights))
+
+    def run(data: np.ndarray) -> np.ndarray:
+        valid = ~np.isnan(data)
+        total, weight = (blur(blur(v).T).T for v in (np.where(valid, data, 0.0), valid.astype("float64")))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(weight > 0, total / weight, np.nan)
+
+    return run
+
+
+def gaussian_filter(raster: Raster, sigma: float = 1.0) -> Raster:
+    """Mean weighted by exp(-d**2 / (2 sigma**2)) to a reach of 4 sigma, rounded; weights of nulls are left out. On tiles with a halo."""
+    reach = int(4 * sigma + 0.5)
+    return map_tiles(raster, _gaussian(sigma, reach), TILE, reach)
 
 
 def distance_filter(raster: Raster, sigma: float = 5.0, threshold: float = 2.0) -> Raster:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.operators.raster import Raster
@@ -44,22 +44,12 @@ def _label(height: int, width: int, size: int, connectivity: int):
         r0, c0 = r.min(), c.min()
         grid = np.full((r.max() - r0 + 3, c.max() - c0 + 3), -1, "int64")
         grid[r - r0 + 1, c - c0 + 1] = np.arange(len(r))
-        parent = np.arange(len(r))
-
-        def root(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
+        links = []
         for dr, dc in steps:
             other = grid[r - r0 + 1 + dr, c - c0 + 1 + dc]
             hit = np.flatnonzero((other >= 0) & (v[other] == v))
-            for k in hit:
-                a, b = root(k), root(other[k])
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        roots = np.array([root(k) for k in range(len(r))])
+            links.append(np.stack([hit, other[hit]]))
+        roots = linked(len(r), *np.concatenate(links, axis=1))
         gid = r.astype("int64") * width + c
         least = np.full(len(r), np.iinfo("int64").max)
         np.minimum.at(least, roots, gid)
@@ -68,6 +58,21 @@ def _label(height: int, width: int, size: int, connectivity: int):
     return label
 
 
+def linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A root of each of ``n`` things that links (a, b) connect: the higher of two roots takes the lower one, then all look at their root's root."""
+    parent = np.arange(n)
+    while len(a):
+        low, high = np.minimum(parent[a], parent[b]), np.maximum(parent[a], parent[b])
+        apart = low != high
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, high[apart], low[apart])
+        while ((up := parent[parent]) != parent).any():
+            parent = up
+    return parent
+
+
 def label_regions(raster: Raster, connectivity: int = 4, tile: int = TILE) -> DataFrame:
     """``band, row, col, value, component``: the least row-major cell number of each region of valid, equal, linked cells."""
     if connectivity not in (4, 8):
@@ -97,53 +102,68 @@ def snapped(raster: Raster, tolerance: float = 0.1) -> Raster:
     return raster.with_value(F.rint(F.col("value") / tolerance) * tolerance)
 
 
+def rings_of(edges: dict[tuple[int, int], list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
+    """Closed rings of directed edges between corners, corners on straight lines left out."""
+    rings = []
+    while edges:
+        start = min(edges)
+        ring, at, came = [start], start, None
+        while True:
+            options = edges[at]
+            step = options[0]
+            if len(options) > 1 and came is not None:  # at a corner where two cells touch, stay with the own cell
+                right = (came[1], -came[0])
+                step = next((o for o in options if (o[0] - at[0], o[1] - at[1]) == right), options[0])
+            options.remove(step)
+            if not options:
+                del edges[at]
+            way = (step[0] > at[0]) - (step[0] < at[0]), (step[1] > at[1]) - (step[1] < at[1])
+            if came == way:
+                ring[-1] = step
+            else:
+                ring.append(step)
+            came, at = way, step
+            if at == start:
+                break
+        rings.append(ring)
+    return rings
+
+
 def _outline(transform: tuple[float, ...]):
     a, b, c, d, e, f = transform
 
     def outline(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells = set(zip(pdf.row.tolist(), pdf.col.tolist(), strict=True))
         after: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for r, k in cells:  # edges with the cell on their right, as (row, col) corners
-            for edge, beside in ((((r, k), (r, k + 1)), (r - 1, k)), (((r, k + 1), (r + 1, k + 1)), (r, k + 1)), (((r + 1, k + 1), (r + 1, k)), (r + 1, k)), (((r + 1, k), (r, k)), (r, k - 1))):
-                if beside not in cells:
-                    after.setdefault(edge[0], []).append(edge[1])
-        rings = []
-        while after:
-            start = min(after)
-            ring, at, came = [start], start, None
-            while True:
-                options = after[at]
-                step = options[0]
-                if len(options) > 1 and came is not None:  # at a corner where two cells touch, stay with the own cell
-                    right = (came[1], -came[0])
-                    step = next((o for o in options if (o[0] - at[0], o[1] - at[1]) == right), options[0])
-                options.remove(step)
-                if not options:
-                    del after[at]
-                came = (step[0] - at[0], step[1] - at[1])
-                if len(ring) > 1 and (ring[-1][0] - ring[-2][0], ring[-1][1] - ring[-2][1]) == came:
-                    ring[-1] = step
-                else:
-                    ring.append(step)
-                at = step
-                if at == start:
-                    break
-            rings.append(ring)
+        for r0, c0, r1, c1 in zip(*(pdf[k].tolist() for k in ("r0", "c0", "r1", "c1")), strict=True):
+            after.setdefault((r0, c0), []).append((r1, c1))
+        rings = rings_of(after)
         size = [sum(p[1] * q[0] - q[1] * p[0] for p, q in zip(r, r[1:], strict=False)) for r in rings]
         order = sorted(range(len(rings)), key=lambda k: -abs(size[k]))
         part = [[{"x": a * k + b * r + c, "y": d * k + e * r + f} for r, k in rings[n]] for n in order]
-        return pd.DataFrame([{"component": int(pdf.component.iloc[0]), "raster_value": float(pdf.value.iloc[0]), "n_cells": len(cells), "geom": {"type": "Polygon", "parts": [part]}}])
+        return pd.DataFrame([{"component": int(pdf.component.iloc[0]), "raster_value": float(pdf.value.iloc[0]), "geom": {"type": "Polygon", "parts": [part]}}])
 
     return outline
 
 
+def boundary_edges(labels: DataFrame) -> DataFrame:
+    """``component, value, r0, c0, r1, c1``: the sides of cells beyond which another region lies, the cell on their right."""
+    across, down = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
+    same = lambda move, axis, step, w: F.coalesce((move("component").over(w) == F.col("component")) & (move(axis).over(w) == F.col(axis) + step), F.lit(False))
+    sides = labels.select("component", "value", "row", "col", same(F.lag, "col", -1, across).alias("_l"), same(F.lead, "col", 1, across).alias("_r"))
+    sides = sides.select("*", same(F.lag, "row", -1, down).alias("_u"), same(F.lead, "row", 1, down).alias("_d")).where("NOT (_l AND _r AND _u AND _d)")
+    corner = lambda flag, *ends: F.when(~F.col(flag), F.struct(*[(F.col("row" if k % 2 == 0 else "col") + v).alias(n) for k, (n, v) in enumerate(zip(("r0", "c0", "r1", "c1"), ends, strict=True))]))
+    edges = F.array_compact(F.array(corner("_u", 0, 0, 0, 1), corner("_r", 0, 1, 1, 1), corner("_d", 1, 1, 1, 0), corner("_l", 1, 0, 0, 0)))
+    return sides.select("component", "value", F.explode(edges).alias("e")).select("component", "value", "e.*")
+
+
 def polygonize(raster: Raster, target: str | float | tuple | list = "all", connectivity: int = 4, band: int = 1) -> DataFrame:
     """One polygon per region: ``component, raster_value, n_cells, geom``, the outer ring first, then holes.
 
-    A region's outline is traced in one task; a region may not hold more cells than a task's memory (some 10 million).
+    Only the sides of cells on a region's rim are gathered, all of one region in one task.
     """
     one = Raster(raster.df.where(F.col("band") == band), raster.grid)
-    labels = label_regions(select_targets(one, target), connectivity)
-    schema = "component bigint, raster_value double, n_cells bigint, geom struct<type: string, parts: array<array<array<struct<x: double, y: double>>>>>"
-    # inner cells have no edge of the outline; the rings need all, as two touching cells hide their common edge
-    return labels.groupBy("component").applyInPandas(_outline(raster.grid.transform), schema)
+    labels = store(label_regions(select_targets(one, target), connectivity), "regions")
+    schema = "component bigint, raster_value double, geom struct<type: string, parts: array<array<array<struct<x: double, y: double>>>>>"
+    shapes = boundary_edges(labels).groupBy("component").applyInPandas(_outline(raster.grid.transform), schema)
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n_cells"))
+    return shapes.join(sizes, "component").select("component", "raster_value", "n_cells", "geom")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.operators.raster import Raster
+from strataframe.plans.running import running_sum
 
 
 def splitmix64(x: np.ndarray) -> np.ndarray:
@@ -37,11 +38,25 @@ def sample_size(subsample: float, valid: int) -> int:
     return int(subsample * valid) if subsample <= 1 else min(int(subsample), valid)
 
 
-def topk_sample(raster: Raster, size: int, seed: int = 0, band: int = 1) -> DataFrame:
-    """``gid, row, col, value`` of the ``size`` valid cells with the least keys; the same whatever the partitions.
+#: Samples up to this size come out of one task; the ranks of larger ones are found by running sums.
+ONE_TASK = 100_000
+
+
+def least_keys(df: DataFrame, size: int, number: str, seed: int = 0) -> DataFrame:
+    """The ``size`` rows with the least keys of ``number``; the same whatever the partitions.
 
-    Each task sends only its own least ``size`` (the plan is a top-k).
+    A small sample is a top-k, for which each task sends its own least rows. Of a large one all rows are ranked in ranges
+    of their keys, so that no task holds the whole sample.
     """
+    keyed = df.withColumn("_key", sample_key(F.col(number), seed))
+    if size <= ONE_TASK:
+        return keyed.orderBy("_key", number).limit(size).drop("_key")
+    ranked = running_sum(keyed.withColumn("_one", F.lit(1)), [], ["_key", number], "_one", "_rank")
+    return ranked.where(F.col("_rank") <= size).drop("_key", "_one", "_rank")
+
+
+def topk_sample(raster: Raster, size: int, seed: int = 0, band: int = 1) -> DataFrame:
+    """``gid, row, col, value`` of the ``size`` valid cells with the least keys; the same whatever the partitions."""
     valid = raster.df.where((F.col("band") == band) & F.col("value").isNotNull())
     keyed = valid.select((F.col("row").cast("bigint") * raster.grid.width + F.col("col")).alias("gid"), "row", "col", "value")
-    return keyed.withColumn("key", sample_key(F.col("gid"), seed)).orderBy("key", "gid").limit(size).select("gid", "row", "col", "value")
+    return least_keys(keyed, size, "gid", seed)
