@@ -78,11 +78,15 @@ def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
-    """1,000 valid cells of all and 100 of each site."""
+    """1,000 valid cells of all and 100 of each site. Cells are sampled under the numbers of their grids and sites; only the sample gets names."""
     grids = current_grids(table(spark, folder, "raster_grids"))
-    cells = named(current_cells(table(spark, folder, "raster_pixels"), grids).where("valid"), grids, ("site_id",))
-    rows = cells.select("site_id", "raster_id", "band", "row", "col", "value")
-    return reservoir_sample(rows, {"all": (None, 1000), "site": ("site_id", 100)}, seed=4)
+    sites = store(grids.select("site_id").distinct().where("site_id IS NOT NULL").withColumn("site", F.monotonically_increasing_id()), "sites")
+    numbered = store(grids.join(sites, "site_id", "left"), "grids")
+    cells = with_grid(current_cells(table(spark, folder, "raster_pixels"), grids).where("valid"), numbered, "grid", ("site",))
+    drawn = reservoir_sample(cells.select("grid", "stray", "site", "band", "row", "col", "value"), {"all": (None, 1000), "site": ("site", 100)}, seed=4)
+    known = store(drawn, "sample").join(F.broadcast(sites.select(F.col("site").alias("_site"), "site_id")), F.col("site") == F.col("_site"), "left")
+    key = F.when(F.col("scope") == "site", F.col("site_id")).alias("key")
+    return named(known.select("grid", "stray", "scope", key, "population", "site_id", "band", "row", "col", "value"), grids).select("scope", "key", "population", "site_id", "raster_id", "band", "row", "col", "value")
 
 
 def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
