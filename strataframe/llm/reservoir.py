@@ -53,6 +53,28 @@ class Reservoir:
         return entered
 
 
+class Kept:
+    """The rows that a reservoir's slots hold, as places in the tables of rows that entered; overwritten rows go when they are too many."""
+
+    def __init__(self, size: int):
+        self.slots = np.zeros(size, dtype="int64")
+        self.tables: list[pa.Table] = []
+        self.rows, self.filled = 0, 0
+
+    def put(self, slots: np.ndarray, taken: pa.Table) -> None:
+        self.slots[slots] = self.rows + np.arange(len(slots))
+        self.tables.append(taken)
+        self.rows += len(slots)
+        self.filled = max(self.filled, int(slots.max()) + 1)
+        if self.rows > 8 * len(self.slots) + 1024 or len(self.tables) > 256:
+            self.tables = [self.table()]
+            self.rows = self.filled
+            self.slots[: self.filled] = np.arange(self.filled)
+
+    def table(self) -> pa.Table:
+        return pa.concat_tables(self.tables).take(pa.array(self.slots[: self.filled]))
+
+
 def _fill(sizes: dict[str, int], seed: int, width: int):
     """Reservoirs of one partition for each scope (its column) and key. The first columns are the scopes' keys."""
 
@@ -60,7 +82,7 @@ def _fill(sizes: dict[str, int], seed: int, width: int):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        held: dict[tuple[str, str | None], tuple[Reservoir, dict[int, pa.Table]]] = {}
+        held: dict[tuple[str, str | None], tuple[Reservoir, Kept]] = {}
         schema = None
         for batch in batches:
             payload = pa.Table.from_batches([batch]).select(list(range(len(sizes), batch.num_columns)))
@@ -75,17 +97,15 @@ def _fill(sizes: dict[str, int], seed: int, width: int):
                     name = (scope, key)
                     if name not in held:
                         mark = int.from_bytes(hashlib.blake2b(f"{scope}\0{key}\0{key is None}".encode(), digest_size=16).digest(), "big")
-                        held[name] = (Reservoir(size, np.random.default_rng([seed, part, mark])), {})
-                    reservoir, slots = held[name]
-                    entered = dict(reservoir.offer(len(rows)))
+                        held[name] = (Reservoir(size, np.random.default_rng([seed, part, mark])), Kept(size))
+                    reservoir, kept = held[name]
+                    entered = dict(reservoir.offer(len(rows)))  # of rows that enter one slot the last stays
                     if entered:
-                        taken = payload.take(pa.array(rows[list(entered.values())]))
-                        for n, slot in enumerate(entered):
-                            slots[slot] = taken.slice(n, 1)
-        for (scope, key), (reservoir, slots) in held.items():
-            table = pa.concat_tables([slots[s] for s in sorted(slots)]).combine_chunks() if slots else None
-            if table is None:
+                        kept.put(np.fromiter(entered, "int64", len(entered)), payload.take(pa.array(rows[list(entered.values())])))
+        for (scope, key), (reservoir, kept) in held.items():
+            if not kept.filled:
                 continue
+            table = kept.table().combine_chunks()
             n = table.num_rows
             place = reservoir.rng.permutation(n)
             head = [pa.array([scope] * n, pa.string()), pa.array([key] * n, pa.string()), pa.array([part] * n, pa.int32()), pa.array([reservoir.seen] * n, pa.int64()), pa.array(place, pa.int32())]
