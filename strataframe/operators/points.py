@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataframe.functions import splines
 from strataframe.operators.raster import Raster
+from strataframe.operators.tiles import with_halo
 from strataframe.plans.grid import Grid
+from strataframe.plans.workspace import store
 
 
 def ij(grid: Grid, x: str = "x", y: str = "y", shift: bool = True) -> tuple[Column, Column]:
@@ -33,15 +38,61 @@ def _located(raster: Raster, points: DataFrame) -> DataFrame:
     return points.select("point_id", i.alias("i"), j.alias("j"))
 
 
-def interp(raster: Raster, points: DataFrame, method: str = "linear", band: int = 1, spread: int | None = None) -> DataFrame:
-    """``point_id, value`` by the nearest cell or between the four around a point; null outside and near nulls.
+#: Orders of the methods of interpolation.
+ORDERS = {"nearest": 0, "linear": 1, "slinear": 1, "cubic": 3, "pchip": 3, "splinef2d": 3, "quintic": 5}
+#: Sides of the tiles for splines, and cells around a tile beyond which a cell counts for less than a thousand-millionth.
+TILE, HALO = 256, 28
+#: Points that one task interpolates in a tile.
+TILE_POINTS = 200_000
+
+
+def _on_tile(method: str, steps: int, height: int, width: int):
+    def run(cells: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked):
+            return pd.DataFrame({"_n": pd.Series(dtype="int64"), "value": pd.Series(dtype="float64")})
+        tr, tc = int(asked.tile_row.iloc[0]), int(asked.tile_col.iloc[0])
+        r0, c0 = max(0, tr * TILE - HALO), max(0, tc * TILE - HALO)
+        data = np.full((min(height, (tr + 1) * TILE + HALO) - r0, min(width, (tc + 1) * TILE + HALO) - c0), np.nan)
+        data[cells.row.to_numpy() - r0, cells.col.to_numpy() - c0] = cells.value.astype("float64").to_numpy()
+        i, j = asked.i.to_numpy() - r0, asked.j.to_numpy() - c0
+        lost = splines.spread(np.isnan(data), steps)
+        whole = splines.filled(data)
+        made = splines.monotone(whole, i, j) if method == "pchip" else np.concatenate([splines.spline(whole, i[k : k + 8192], j[k : k + 8192], ORDERS[method]) for k in range(0, len(i), 8192)])
+        near = lost[np.ceil(i - 0.5).astype("int64"), np.ceil(j - 0.5).astype("int64")]
+        return pd.DataFrame({"_n": asked._n, "value": pd.Series(made, index=asked.index, dtype="Float64").mask(near)})
+
+    return run
+
+
+def _interp_tiles(raster: Raster, points: DataFrame, method: str, band: int, steps: int) -> DataFrame:
+    """Splines tile by tile, each with a halo; the points of a crowded tile are shared out, the tile's cells sent to each share."""
+    g = raster.grid
+    numbered = store(points.select("point_id", "x", "y").withColumn("_n", F.monotonically_increasing_id()), "asked")
+    i, j = ij(g)
+    at = numbered.select("_n", i.alias("i"), j.alias("j")).where((F.col("i") >= 0) & (F.col("j") >= 0) & (F.col("i") <= g.height - 1) & (F.col("j") <= g.width - 1))
+    placed = at.withColumns({"tile_row": F.floor(F.col("i") / TILE).cast("int"), "tile_col": F.floor(F.col("j") / TILE).cast("int")})
+    shares = store(placed.groupBy("tile_row", "tile_col").agg(F.ceil(F.count(F.lit(1)) / TILE_POINTS).cast("int").alias("_shares")), "shares")
+    asked = placed.join(shares, ["tile_row", "tile_col"]).withColumn("_share", F.pmod(F.hash("_n"), F.col("_shares"))).drop("_shares")
+    one = Raster(raster.df.where((F.col("band") == band) & F.col("value").isNotNull()), g)
+    cells = with_halo(one, TILE, HALO).join(shares, ["tile_row", "tile_col"]).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).select("tile_row", "tile_col", "_share", "row", "col", "value")
+    keys = ["tile_row", "tile_col", "_share"]
+    made = cells.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_on_tile(method, steps, g.height, g.width), "_n bigint, value double")
+    return numbered.select("_n", "point_id").join(made, "_n", "left").select("point_id", "value")
+
+
+def interp(raster: Raster, points: DataFrame, method: str = "linear", band: int = 1, spread: int | str | None = None) -> DataFrame:
+    """``point_id, value`` by the nearest cell, between the four around a point, or by splines; null outside and near nulls.
 
     Cell centres lie on whole indices. A linear value needs all four cells on the grid, and none without data within
-    ``spread`` steps (along rows and columns) of the nearest cell (default: 0 for nearest, 1 for linear).
+    ``spread`` steps (along rows and columns) of the nearest cell: by default half the order rounded up (0 for 'nearest',
+    1 for 'linear' and 'slinear', 2 for 'cubic', 'pchip' and 'splinef2d', 3 for 'quintic'); 'half_order_down' rounds down.
     """
-    if method not in ("nearest", "linear"):
-        raise ValueError("method must be 'nearest' or 'linear'; use kernels for higher orders")
-    spread = {"nearest": 0, "linear": 1}[method] if spread is None else spread
+    if method not in ORDERS:
+        raise ValueError(f"unknown method: {method!r}")
+    if spread is None or isinstance(spread, str):
+        spread = ORDERS[method] // 2 if spread == "half_order_down" else -(-ORDERS[method] // 2)
+    if ORDERS[method] > 1:
+        return _interp_tiles(raster, points, method, band, spread)
     cells = raster.df.where((F.col("band") == band) & F.col("value").isNotNull()).select("row", "col", "value")
     g = raster.grid
     at = _located(raster, points)

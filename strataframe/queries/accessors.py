@@ -12,11 +12,12 @@ from strataframe.functions import names
 from strataframe.functions.crs import metric_epsg, utm_epsg, utm_zone
 from strataframe.operators import resample, vector
 from strataframe.operators.cloud import PointCloud
+from strataframe.operators.points import interp
 from strataframe.operators.raster import Raster
 from strataframe.plans import grid as P
 from strataframe.plans.grid import Grid
 from strataframe.plans.workspace import shared_root, store
-from strataframe.queries.fixtures import F2_GRID, SQL_F2, SQL_F3, SQL_F4, SQL_F5, SQL_F6, f2, f3, f4, f5, f6
+from strataframe.queries.fixtures import F2_GRID, SQL_F2, SQL_F3, SQL_F4, SQL_F5, SQL_F6, SQL_F7, f2, f3, f4, f5, f6, f7
 from strataframe.queries.rasters import _BOTH, r6, r8, r11, rounded
 from strataframe.sources.geotiff import read_geotiff, write_geotiff
 from strataframe.sources.io import read_points, read_raster, write_csv, write_raster
@@ -384,3 +385,13 @@ def raster_polygon_mask(spark, d):
 @query("classes_equal", "SELECT row, col, value = 1 AS value FROM f6", SQL_F6)
 def classes_equal(spark, d):
     return f6(spark, d).compare("eq", 1.0).df.select("row", "col", "value")
+
+
+# --- interpolation of higher order, on surfaces that it must give back
+
+_PLACES = "at_ AS (SELECT point_id, 7 - y AS i, x AS j FROM f7)"
+_INSIDE = "i >= 0 AND j >= 0 AND i <= 6 AND j <= 49"
+for _n, _surface, _sql in (("cubic", lambda: F.pow(F.col("row") - 3, F.lit(3)) + F.col("row") * F.col("col"), "pow(i - 3, 3) + i * j"), ("quintic", lambda: F.pow((F.col("row") - 3) / 2, F.lit(5)) + F.pow(F.col("col") / 10, F.lit(4)), "pow((i - 3) / 2, 5) + pow(j / 10, 4)"), ("splinef2d", lambda: F.col("row") * F.col("row") - F.col("col"), "i * i - j"), ("slinear", lambda: F.col("row") * 2.0 + F.col("col"), "i * 2 + j"), ("pchip", lambda: F.col("row") * 2.0 - F.col("col"), "i * 2 - j")):
+    query(f"interp_{_n}", f"SELECT point_id, {r6(f'CASE WHEN {_INSIDE} THEN {_sql} END')} AS value FROM at_", SQL_F7, _PLACES)(
+        lambda spark, d, n=_n, surface=_surface: rounded(interp(f2(spark, d).with_value(surface().cast("double")), f7(spark, d), n))
+    )
