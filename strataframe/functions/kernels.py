@@ -78,7 +78,7 @@ def encode(values: list) -> pa.Array:
     spots = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, 0])), pa.array(np.ascontiguousarray(xy[:, 1]))], fields=list(_VERTEX))
     nested = pa.ListArray.from_arrays(ends(len(v.shape) if v else 0 for v in plain), pa.ListArray.from_arrays(ends(map(len, parts)), pa.ListArray.from_arrays(ends(map(len, rings)), spots)))
     kinds = pa.array([v.kind if v else None for v in plain], pa.string())
-    made = pa.StructArray.from_arrays([kinds, nested.cast(ARROW_GEOMETRY.field(1).type)], fields=list(ARROW_GEOMETRY), mask=pa.array([v is None for v in plain]))
+    made = pa.StructArray.from_arrays([kinds, nested.cast(ARROW_GEOMETRY.field(1).type)], fields=list(ARROW_GEOMETRY), mask=pa.array([v is None for v in plain], pa.bool_()))
     return made
 
 
