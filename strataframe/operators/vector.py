@@ -16,7 +16,7 @@ from strataframe.functions import geometry as G
 from strataframe.functions import kernels as K
 from strataframe.functions import overlay
 from strataframe.functions.crs import metric_epsg, metric_like, transform_xy
-from strataframe.functions.shapes import Shape
+from strataframe.functions.shapes import Shape, points_inside
 from strataframe.operators.raster import Raster
 from strataframe.plans.boxes import meeting
 from strataframe.plans.grid import Grid, check_bounds
@@ -119,6 +119,46 @@ def sjoin_nearest(left: DataFrame, right: DataFrame, max_distance: float | None
     return found if how == "inner" else left.select("point_id").join(found, "point_id", "left")
 
 
+def _measure(block: list[tuple[int, K.Value]]):
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            for fid, value in block:
+                area = "polygon" in (value.kind or "").lower()
+                s = overlay.segments_of(value.shape, area)
+                s = np.vstack([s, *[np.hstack([r[0], r[0]]) for p in value.shape for r in p if len(r) == 1]])
+                best = np.full(len(x), np.inf)
+                for x0, y0, x1, y1 in s:
+                    dx, dy = x1 - x0, y1 - y0
+                    t = np.clip(((x - x0) * dx + (y - y0) * dy) / max(dx * dx + dy * dy, 1e-300), 0, 1)
+                    np.minimum(best, np.hypot(x - x0 - t * dx, y - y0 - t * dy), out=best)
+                if area:
+                    best[points_inside(x, y, value.shape)] = 0.0
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(x), fid)), pa.array(best)], names=["point_id", "feature_id", "distance"])
+
+    return measure
+
+
+def distances(points: DataFrame, features: DataFrame, block: int = 1000) -> DataFrame:
+    """``point_id, feature_id, distance`` of every point to every feature of a stated set, in blocks of features.
+
+    Each block is a pass over the points, its shapes go to all tasks. Points without a place, and null or empty features,
+    have no distances.
+    """
+    spots = points.select(F.col("point_id").cast("bigint").alias("point_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna()
+    shapes = features.select(F.col("feature_id").cast("bigint").alias("feature_id"), "geom").where(F.col("feature_id").isNotNull() & ~G.is_empty("geom"))
+    schema, out, after = "point_id bigint, feature_id bigint, distance double", None, None
+    while True:
+        rows = (shapes if after is None else shapes.where(F.col("feature_id") > after)).orderBy("feature_id").limit(block).toArrow()
+        part = list(zip(rows.column("feature_id").to_pylist(), K.decode(rows.column("geom")), strict=True)) if rows.num_rows else []
+        if part or out is None:
+            found = spots.mapInArrow(_measure(part), schema)
+            out = found if out is None else out.unionAll(found)
+        if len(part) < block:
+            return out
+        after = part[-1][0]
+
+
 # --- unions
 
 #: Geometries that one task unites at once.

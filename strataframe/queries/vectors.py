@@ -127,8 +127,7 @@ def vector_distance(spark, d):
 
 @query("vector_distances", f"SELECT point_id, feature_id, {r6(_GAP)} AS distance FROM f3, f4", SQL_F3, SQL_F4)
 def vector_distances(spark, d):
-    every = f4(spark, d).select("feature_id", "geom")
-    return rounded(f3(spark, d).crossJoin(F.broadcast(every)).select("point_id", "feature_id", G.distance_to_point("geom", F.col("x"), F.col("y")).alias("distance")), "distance")  # 25 features at any size
+    return rounded(vector.distances(f3(spark, d), f4(spark, d)), "distance")
 
 
 _GROUND = Grid(4.0, 0.0, 0.0, 0.0, -2.5, 150.0, 60, 180)

@@ -10,7 +10,7 @@ from strataframe.operators import sample, stats
 from strataframe.operators.focal import TILE, gaussian_filter, generic_filter, median_filter, window_filter
 from strataframe.operators.raster import Raster
 from strataframe.operators.regions import linked, polygonize
-from strataframe.operators.vector import sjoin_nearest, sjoin_points
+from strataframe.operators.vector import distances, sjoin_nearest, sjoin_points
 from strataframe.functions import geometry as G
 from strataframe.plans.boxes import meeting
 from strataframe.plans.grid import Grid
@@ -103,3 +103,15 @@ def test_nearest_without_a_limit(spark):
     near = sjoin_nearest(pts, features, 10.0)
     assert near.count() == (want.d <= 10).sum() and sjoin_nearest(pts, features, 10.0, "left").count() == 81
     assert sjoin_nearest(pts, features.limit(0)).count() == 0 and sjoin_points(pts, features.limit(0), "anti").count() == 81
+
+
+def test_distances_in_blocks(spark):
+    square = lambda x: {"type": "Polygon", "parts": [[[{"x": x + a, "y": float(b)} for a, b in ((0, 0), (2, 0), (2, 2), (0, 2))]]]}
+    line = {"type": "LineString", "parts": [[[{"x": 0.0, "y": 5.0}, {"x": 4.0, "y": 5.0}]]]}
+    features = spark.createDataFrame([(1, square(0.0)), (2, square(10.0)), (3, line), (4, None), (5, {"type": "Point", "parts": [[[{"x": 1.0, "y": 9.0}]]]})], f"feature_id long, geom {G.GEOMETRY}")
+    points = spark.createDataFrame([(7, 1.0, 1.0), (8, 6.0, 5.0), (9, None, 1.0)], "point_id long, x double, y double")
+    want = {(7, 1): 0.0, (7, 2): 9.0, (7, 3): 4.0, (7, 5): 8.0, (8, 1): 5.0, (8, 2): 5.0, (8, 3): 2.0, (8, 5): 41**0.5}
+    for block in (1, 2, 1000):
+        got = {(r.point_id, r.feature_id): r.distance for r in distances(points, features, block).collect()}
+        assert got == pytest.approx(want)
+    assert distances(points, features.limit(0)).count() == 0
