@@ -40,7 +40,7 @@ def sjoin_points(points: DataFrame, features: DataFrame, how: str = "inner") ->
     if how not in ("inner", "left", "semi", "anti"):
         raise ValueError(f"unknown join: {how!r}")
     x, y = F.col("x"), F.col("y")
-    met = meeting(points if how == "inner" else points.select("point_id", "x", "y"), with_bounds(features), [x, y, x, y], _box())
+    met = meeting(points if how == "inner" else points.select("point_id", "x", "y"), with_bounds(features), [x, y, x, y], _box(), points=True)
     held = met.where(G.contains_point(F.col("b.geom"), F.col("a.x"), F.col("a.y")))
     more = [F.col(f"b.`{c}`") for c in features.columns if c not in points.columns]
     if how == "inner":
@@ -99,7 +99,7 @@ def sjoin_nearest(left: DataFrame, right: DataFrame, max_distance: float | None
     else:
         whole = reach = max_distance if max_distance is not None else 0.0
     while True:
-        met = meeting(spots, boxes, [x, y, x, y], _box(reach)).select("a.point_id", "a.x", "a.y", "b.feature_id", "b.geom", "b._left", "b._bottom", "b._right", "b._top")
+        met = meeting(spots, boxes, [x, y, x, y], _box(reach), points=True).select("a.point_id", "a.x", "a.y", "b.feature_id", "b.geom", "b._left", "b._bottom", "b._right", "b._top")
         out = lambda v, low, high: F.greatest(F.col(low) - F.col(v), F.col(v) - F.col(high), F.lit(0.0))
         far = lambda v, low, high: F.greatest(F.abs(F.col(v) - F.col(low)), F.abs(F.col(v) - F.col(high)))
         near = met.withColumns({"_near": F.hypot(out("x", "_left", "_right"), out("y", "_bottom", "_top")), "_far": F.hypot(far("x", "_left", "_right"), far("y", "_bottom", "_top"))})

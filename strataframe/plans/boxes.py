@@ -43,12 +43,13 @@ def _sent(df: DataFrame, box: Sequence[Column], others: Sequence[int], least: in
     return cells.select(name, F.col("_0").alias(f"{name}_x"), F.col("_1").alias(f"{name}_y"), F.col("own").alias(f"{name}_own"), "level", "cx", "cy", *[F.col(f"_{k}").alias(f"{name}_{k}") for k in range(4)])
 
 
-def meeting(left: DataFrame, right: DataFrame, left_box: Sequence[Column], right_box: Sequence[Column]) -> DataFrame:
+def meeting(left: DataFrame, right: DataFrame, left_box: Sequence[Column], right_box: Sequence[Column], points: bool = False) -> DataFrame:
     """Pairs ``a, b`` (structs of the rows of both tables) whose boxes (left, bottom, right, top) share a place, each once.
 
-    Boxes with a null, NaN or in the wrong order meet nothing. Points are boxes without sides.
+    Boxes with a null, NaN or in the wrong order meet nothing. Points are boxes without sides; if ``points`` says that the
+    left ones are, that side isn't looked at before the join, and may be a stream.
     """
-    in_left, in_right = _levels(left, left_box), _levels(right, right_box)
+    in_left, in_right = [] if points else _levels(left, left_box), _levels(right, right_box)
     least = min([*in_left, *in_right, HIGHEST]) if in_left or in_right else 0
     a = _sent(left, left_box, in_right, least, "a")
     b = _sent(right, right_box, in_left or [least], least, "b")

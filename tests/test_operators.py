@@ -144,3 +144,20 @@ def test_zonal_stream(spark, tmp_path):
             key = (int(x) + 1, int(t[9]))
             want[key] = (want.get(key, (0, 0))[0] + 1, want.get(key, (0, 0.0))[1] + v)
     assert got == want
+
+
+def test_zonal_stream_drops_what_is_late(spark, tmp_path):
+    """In append mode a window comes out once, when the watermark has passed it."""
+    from strataframe.streaming.zonal import zonal_stream
+
+    schema = "point_id long, x double, y double, t timestamp, v double"
+    for n, days in enumerate(((1, 1, 2), (9,), (1, 9), (20,))):
+        rows = [(10 * n + k, 0.5, 0.5, f"2024-01-{d:02d} 06:00:00", 1.0) for k, d in enumerate(days)]
+        spark.createDataFrame(rows, "point_id long, x double, y double, t string, v double").selectExpr("point_id", "x", "y", "timestamp(t) AS t", "v").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if n == 0:
+            zones = spark.createDataFrame([(1,)], "feature_id long").select("feature_id", G.box(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("geom"))
+        q = zonal_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), zones, "t", "v").writeStream.outputMode("append")
+        q = q.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = {(r.d, r.n) for r in spark.read.parquet(str(tmp_path / "out")).selectExpr("day(window.start) AS d", "n").collect()}
+    assert got == {(1, 2), (2, 1), (9, 2)}
