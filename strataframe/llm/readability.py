@@ -47,12 +47,21 @@ _MUTE_INSIDE = re.compile(r"[aeiou][^aeiouyl]{1,2}e(?=(?:ment|ly|ful|less|ness|s
 _LONE_M = re.compile(r"(?:s|th)ms?$")
 
 
-#: Frequent function words by language.
+#: The function words of each language: articles, pronouns, prepositions, conjunctions, auxiliaries.
 FUNCTION_WORDS = {
-    "en": "the of and to in is was were by with that this each which for from under near within along across it its as are at on an be or not their our any has have had they these those then than but so after because when while into over through if there here we more less most",
-    "de": "der die das und ist eine ein einen einer mit zwischen neben jede jeder jedes diese dieser dieses für von zu im den dem des nicht auf als auch sich obwohl weil wenn über unter vor nach sind war wird oder bei wir",
-    "fr": "le la les des du est une un et dans sur sous avec cette ce ces chaque par pour qui que entre car puisque tandis avant après au aux sont était ne pas plus nous ou il elle",
-    "es": "el la los las una un y en con esta este estas estos cada por para que entre porque aunque pues mientras bajo ante desde es son era no más del al se lo su nosotros o",
+    "en": """the a an of and to in is was were be been being are am it its he she they them their his her we us our you your i my me this that these those who whom whose which
+what when where while why how if then than so as at by for from with without into onto over under near within along across between among through during before after above below
+about against on off out up down not no nor or but because although though since until unless have has had having do does did can could may might must shall should will would there
+here each every any some all both few more most other such only own same too very""",
+    "de": """der die das den dem des ein eine einen einem einer eines und oder aber denn weil dass wenn als ob obwohl während bevor nachdem ist sind war waren wird werden wurde wurden hat
+haben hatte kann können muss müssen soll nicht kein keine ich du er sie es wir ihr sich mich uns ihm ihn ihnen mein sein seine ihre unser dieser diese dieses diesen jeder jede jedes
+welche in im an am auf aus bei beim mit nach von vom vor zu zum zur für durch gegen ohne um über unter zwischen neben hinter seit auch noch nur schon sehr so wie""",
+    "fr": """le la les un une des du de d l et ou mais donc car ni ne pas plus que qui quoi dont où je tu il elle on nous vous ils elles me te se lui leur leurs mon ma mes son sa ses notre
+votre ce cet cette ces est sont était étaient être a ont avait avoir fait peut dans en sur sous avec sans par pour vers chez entre avant après pendant depuis contre au aux si
+comme quand lorsque puisque tandis parce chaque tout tous toute toutes même aussi très""",
+    "es": """el la los las un una unos unas de del al y e o u pero sino porque que quien cual cuyo donde cuando como si no ni yo tú él ella nosotros ellos ellas me te se le les lo nos su sus
+mi mis este esta estos estas ese esa esos esas es son era eran ser fue fueron está están ha han había haber hay puede en con sin por para sobre bajo entre desde hasta hacia ante
+contra durante según mientras aunque pues cada todo toda todos todas más menos muy también ya""",
 }
 _WORD_LANGUAGES: dict[str, tuple[str, ...]] = {}
 for _lang, _words in FUNCTION_WORDS.items():
