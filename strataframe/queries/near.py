@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataframe.functions.metrics import EARTH_RADIUS
 from strataframe.operators.near import near_pairs
 from strataframe.operators.records import latest
+from strataframe.queries.fixtures import SQL_F3, f3
 from strataframe.sources.tables import table
 
 NUMBER = r"([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)"
@@ -42,7 +44,13 @@ def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return points.select("id").join(counts, "id", "left").select(F.col("id").alias("point_id"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("n_areas", F.lit(0)).alias("n_areas"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours}
+def near_great_circle(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of the events, spread over longitudes and latitudes, at most 130 km apart on the sphere."""
+    spread = f3(spark, folder).select(F.col("point_id").alias("id"), (F.col("x") / 2 - 180).alias("x"), (F.col("y") * 1.1 - 82).alias("y"))
+    return near_pairs(spread, 130_000.0, metric="great_circle").select("id_a", "id_b")
+
+
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "near_great_circle": near_great_circle}
 
 _POINTS = r"""
 number AS (SELECT *, regexp_extract(geometry, '(?i)^\s*(?:SRID\s*=\s*[0-9]+\s*;)?\s*POINT\s*(?:ZM|Z|M)?\s*\(\s*([-+0-9.eE]+)\s+([-+0-9.eE]+)', ['gx', 'gy']) AS g FROM pointcloud_points),
@@ -66,7 +74,11 @@ held AS (SELECT feature_id, k, id FROM cross_ GROUP BY ALL HAVING bool_and(CASE
 inside AS (SELECT DISTINCT feature_id AS id_a, id AS id_b FROM held)
 """
 
+_SPHERE = f"""{SQL_F3}, s AS (SELECT point_id AS id, radians(x / 2 - 180) AS lon, radians(y * 1.1::DOUBLE - 82) AS lat FROM f3)"""
+
 ORACLES = {
+    "near_great_circle": f"""WITH {_SPHERE} SELECT a.id AS id_a, b.id AS id_b FROM s a JOIN s b ON a.lat BETWEEN b.lat - 0.021::DOUBLE AND b.lat + 0.021::DOUBLE AND a.id < b.id
+WHERE 2 * {EARTH_RADIUS}::DOUBLE * asin(sqrt(least(1, pow(sin((b.lat - a.lat) / 2), 2) + cos(a.lat) * cos(b.lat) * pow(sin((b.lon - a.lon) / 2), 2)))) <= 130000""",
     "p2_found": f"WITH {_POINTS} SELECT 'near' AS relation, id_a, id_b FROM near UNION ALL SELECT 'inside', id_a, id_b FROM inside",
     "p2_neighbours": f"""WITH {_POINTS}, ends AS (SELECT id_a AS id FROM near UNION ALL SELECT id_b FROM near), n AS (SELECT id, count(*) AS c FROM ends GROUP BY id), m AS (SELECT id_b AS id, count(*) AS c FROM inside GROUP BY 1)
 SELECT p.id AS point_id, coalesce(n.c, 0) AS n_near, coalesce(m.c, 0) AS n_areas FROM p LEFT JOIN n USING (id) LEFT JOIN m USING (id)""",
