@@ -113,14 +113,21 @@ def interp(raster: Raster, points: DataFrame, method: str = "linear", band: int
 
 
 def reduce_points(raster: Raster, points: DataFrame, rule: Column, window: int = 1, band: int = 1) -> DataFrame:
-    """``point_id, value``: an aggregate of ``value`` over the window around the cell that holds each point."""
+    """``point_id, value``: an aggregate of ``value`` over the window around the cell that holds each point.
+
+    The window of a cell is gathered once for all points in it. Spark estimates the size of points and windows from the
+    points' files and would broadcast them, so both joins are sort-merge joins.
+    """
     reach = window // 2
     g = raster.grid
     i, j = ij(g)
     at = points.select("point_id", F.floor(i).cast("int").alias("r0"), F.floor(j).cast("int").alias("c0")).where(~outside(g, F.col("r0"), F.col("c0")))
     steps = F.sequence(F.lit(-reach), F.lit(reach))
-    cells = at.select("*", F.explode(steps).alias("dr")).select("*", F.explode(steps).alias("dc")).select("point_id", (F.col("r0") + F.col("dr")).alias("row"), (F.col("c0") + F.col("dc")).alias("col"))
-    joined = cells.join(raster.df.where(F.col("band") == band).select("row", "col", "value"), ["row", "col"])
+    asked = at.select("r0", "c0").distinct().select("*", F.explode(steps).alias("dr")).select("*", F.explode(steps).alias("dc"))
+    cells = asked.select("r0", "c0", (F.col("r0") + F.col("dr")).alias("row"), (F.col("c0") + F.col("dc")).alias("col"))
+    found = cells.join(raster.df.where(F.col("band") == band).select("row", "col", "value").hint("merge"), ["row", "col"])
+    windows = found.groupBy("r0", "c0").agg(F.collect_list(F.struct("value")).alias("_cells"))  # as structs nulls stay
+    joined = at.join(windows.hint("merge"), ["r0", "c0"]).select("point_id", F.explode("_cells").alias("_cell")).select("point_id", F.col("_cell.value").alias("value"))
     return points.select("point_id").join(joined.groupBy("point_id").agg(rule.alias("value")), "point_id", "left")
 
 

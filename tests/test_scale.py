@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strataframe.operators import sample, stats
 from strataframe.operators.focal import TILE, gaussian_filter, generic_filter, median_filter, window_filter
+from strataframe.operators.points import reduce_points
 from strataframe.operators.raster import Raster
 from strataframe.operators.regions import linked, polygonize
 from strataframe.operators.vector import distances, sjoin_nearest, sjoin_points
@@ -115,3 +116,26 @@ def test_distances_in_blocks(spark):
         got = {(r.point_id, r.feature_id): r.distance for r in distances(points, features, block).collect()}
         assert got == pytest.approx(want)
     assert distances(points, features.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("height", [20, 400])
+def test_windows_of_points_are_not_broadcast(spark, tmp_path, height):
+    rng = np.random.default_rng(6)
+    data = rng.normal(0, 5, (height, 30))
+    data[rng.random(data.shape) < 0.2] = np.nan
+    raster = Raster.from_array(spark, np.where(np.isnan(data), None, data).tolist(), Grid(1.0, 0.0, 0.0, 0.0, -1.0, float(height), height, 30))
+    places = F.array(*[F.pmod(F.hash("id", F.lit(k)), F.lit(1000 * n)) / 1000.0 - 1 for k, n in ((1, 32), (2, height + 2))])
+    spark.range(20_000).withColumn("p", places).select(F.col("id").alias("point_id"), F.col("p")[0].alias("x"), F.col("p")[1].alias("y")).write.parquet(f"{tmp_path}/points")
+    points = spark.read.parquet(f"{tmp_path}/points")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")  # the windows have 180,000 cells
+    try:
+        got = reduce_points(raster, points, F.struct(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n")), 3).select("point_id", "value.*").toPandas().set_index("point_id").sort_index()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    at = points.toPandas().set_index("point_id").sort_index()
+    row, col = np.floor(height - at.y).astype(int), np.floor(at.x).astype(int)
+    inside = (row >= 0) & (col >= 0) & (row < height) & (col < 30)
+    wide = np.pad(np.stack([np.nan_to_num(data), np.ones_like(data)]), ((0, 0), (1, 1), (1, 1)))
+    sums = sum(wide[:, a : a + height, b : b + 30] for a in range(3) for b in range(3))
+    assert len(got) == 20_000 and (got.n.isna() == ~inside).all() and 0 < inside.sum() < 20_000
+    np.testing.assert_allclose(got[inside].to_numpy(dtype="float64"), sums[:, row[inside], col[inside]].T, atol=1e-9)
